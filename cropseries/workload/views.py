@@ -114,6 +114,7 @@ class Tables:
     def view(self, name: str) -> DataFrame:
         text = VIEWS[name].replace("$steps", _STEPS["spark"])
         used = [t for t in TABLES if f"${t}" in text]
+        text = text.replace("{", "{{").replace("}", "}}")
         for t in used:
             text = text.replace(f"${t}", f"{{{t}}}")
         return self._sql(text, used)
