@@ -1,8 +1,7 @@
-"""Array expressions over one curve: smoothing, resampling and distances, all evaluated in the JVM."""
+"""Array expressions over one curve: resampling and distances, evaluated in the JVM."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, functions as F
 
 
@@ -10,92 +9,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-
-
 def euclidean(a: str | Column, b: str | Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: (x - y) * (x - y)),
                               F.lit(0.0), lambda acc, v: acc + v))
 
 
-def kernel_regression(days: str | Column, values: str | Column, bandwidth: float = 0.03) -> Column:
-    """Gaussian local-constant smoother at the same days, days scaled to [0, 1] by the valid ones.
-
-    Fewer than three valid points return the input; a vanishing weight sum gives NULL.
-    """
-    days, values = _col(days), _col(values)
-    points = F.filter(F.arrays_zip(days.alias("x"), values.alias("y")), lambda p: p["y"].isNotNull())
-    low, high = F.array_min(F.transform(points, lambda p: p["x"])), F.array_max(F.transform(points, lambda p: p["x"]))
-    width = F.greatest(high - low, F.lit(1e-6))
-
-    def smooth(day: Column) -> Column:
-        def add(acc: Column, p: Column) -> Column:
-            z = (day - p["x"]) / width / bandwidth
-            w = F.exp(z * z * -0.5)
-            return F.struct((acc["wy"] + w * p["y"]).alias("wy"), (acc["w"] + w).alias("w"))
-        return F.aggregate(points, F.struct(F.lit(0.0).alias("wy"), F.lit(0.0).alias("w")), add,
-                           lambda acc: F.when(acc["w"] > 0, acc["wy"] / acc["w"]))
-
-    return F.when(F.size(points) < 3, values).otherwise(F.transform(days, smooth))
-
-
-def savgol_coefficients(window: int, degree: int) -> list[float]:
-    """Central least-squares weights of a polynomial fit over ``window`` equally spaced points."""
-    half = window // 2
-    x = np.arange(-half, half + 1, dtype=float) / max(half, 1)
-    weights = np.linalg.pinv(np.vander(x, degree + 1, increasing=True))[0]
-    weights[np.abs(weights) < 1e-12] = 0.0
-    return [float(w) for w in (weights + weights[::-1]) / 2]
-
-
-def circular_convolve(curve: str | Column, weights: list[float]) -> Column:
-    """Convolution with wrap-around; symmetric weights."""
-    curve = _col(curve)
-    half, n = len(weights) // 2, F.size(curve)
-    taps = [(k - half, w) for k, w in enumerate(weights) if w]
-
-    def at(_: Column, i: Column) -> Column:
-        total = F.lit(0.0)
-        for offset, w in taps:
-            total = total + F.get(curve, F.pmod(i + offset, n)) * w
-        return total
-
-    return F.transform(curve, at)
-
-
-def chen_sg(curve: str | Column, first: tuple[int, int] = (11, 7), second: tuple[int, int] = (3, 2),
-            iterations: int = 10) -> Column:
-    """Savitzky-Golay upper envelope: trend, then repeated max-and-smooth until the weighted distance rises.
-
-    Any missing point makes the whole curve missing.
-    """
-    curve = _col(curve)
-    w1, w2 = savgol_coefficients(*first), savgol_coefficients(*second)
-
-    def from_trend(trend: Column) -> Column:
-        gap = F.zip_with(trend, curve, lambda a, b: a - b)
-        top = F.array_max(F.transform(gap, F.abs))
-        weights = F.transform(gap, lambda d: F.least(F.lit(1.0), 1.0 - F.coalesce(F.try_divide(d, top), F.lit(0.0))))
-
-        def step(state: Column, _: Column) -> Column:
-            raised = F.zip_with(state["curve"], curve, lambda a, b: F.greatest(a, b))
-            fit = circular_convolve(raised, w2)
-            cost = _sum(F.zip_with(F.zip_with(fit, curve, lambda a, b: F.abs(a - b)), weights, lambda a, b: a * b))
-            done = state["done"] | (cost > state["cost"])
-            return F.when(done, F.struct(state["curve"].alias("curve"), state["cost"].alias("cost"),
-                                         F.lit(True).alias("done"))) \
-                .otherwise(F.struct(fit.alias("curve"), cost.alias("cost"), F.lit(False).alias("done")))
-
-        start = F.struct(trend.alias("curve"), F.lit(float("inf")).alias("cost"), F.lit(False).alias("done"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, step, lambda s: s["curve"])
-
-    complete = F.forall(curve, lambda v: v.isNotNull())
-    # one-element transform = let-binding, so the trend is computed once per row
-    fitted = F.transform(F.array(circular_convolve(curve, w1)), from_trend)[0]
-    return F.when(complete, fitted)
-
-
 def interpolate(curve: Column, position: Column) -> Column:
     """Linear interpolation at a fractional 0-based index, clamped at both ends."""
     last = F.size(curve) - 1

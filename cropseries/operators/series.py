@@ -4,25 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import curves
+from ..functions import smoothing
 
 
 def kernel_smooth(df: DataFrame, vi: str = "vi", days: str = "days", bandwidth: float = 0.03) -> DataFrame:
-    return df.withColumn(vi, curves.kernel_regression(days, vi, bandwidth))
+    return df.withColumn(vi, smoothing.kernel_regression(days, vi, bandwidth))
 
 
 def chen_sg(df: DataFrame, vi: str = "vi", first: tuple[int, int] = (11, 7), second: tuple[int, int] = (3, 2),
             iterations: int = 10) -> DataFrame:
-    return df.withColumn(vi, curves.chen_sg(vi, first, second, iterations))
+    """Envelope filter; incomplete curves come out as arrays of NULL."""
+    return df.withColumn(vi, smoothing.chen_sg(vi, first, second, iterations))
 
 
-def smooth_series(df: DataFrame, crop: str = "is_crop", vi: str = "vi", days: str = "days",
+def smooth_series(df: DataFrame, crop: str | None = "is_crop", vi: str = "vi", days: str = "days",
                   bandwidth: float = 0.03) -> DataFrame:
     """Kernel regression, then the envelope filter, for crop pixels; other or missing values become 0.
 
-    The smoothing sits behind the crop test, so other pixels cost nothing; no join is needed.
+    Curves of other pixels are emptied before they are sent to the smoother, so they cost nothing; without a
+    crop column every curve is smoothed. No join is needed.
     """
-    smoothed = curves.chen_sg("_k")
-    zeros = F.transform(vi, lambda _: F.lit(0.0))
-    return (df.withColumn("_k", F.when(F.col(crop), curves.kernel_regression(days, vi, bandwidth)))
-            .withColumn(vi, F.when(F.col(crop), F.coalesce(smoothed, zeros)).otherwise(zeros)).drop("_k"))
+    if crop is None:
+        return df.withColumn(vi, smoothing.smooth_curve(days, vi, bandwidth))
+    wanted = F.coalesce(F.col(crop), F.lit(False))
+    none = F.array().cast("array<double>")
+    smoothed = smoothing.smooth_curve(F.when(wanted, F.col(days)).otherwise(none), F.when(wanted, F.col(vi)).otherwise(none), bandwidth)
+    return df.withColumn("_smooth", smoothed).withColumn(
+        vi, F.when(wanted, F.col("_smooth")).otherwise(F.array_repeat(F.lit(0.0), F.size(vi)))).drop("_smooth")

@@ -148,10 +148,11 @@ def month_window_series(df: DataFrame, keys: Sequence[str], bands: Sequence[str]
     steps = cal.slot_count(n_months, days)
     end = _date(end) if not isinstance(end, Column) else end
     ends = F.filter(cal.month_ends_back(F.add_months(cal.month_floor(date), n_months + 1), n_months + 2),
-                    lambda e: (e >= F.col(date)) & (F.datediff(e, date) < steps * days) & (e <= cal.month_end(end))
-                    & (e >= F.add_months(cal.month_floor(end), 1 - n_windows)))
+                    lambda e: (e >= F.col(date)) & (F.datediff(e, date) < steps * days) & (e <= F.col("_newest"))
+                    & (e >= F.col("_oldest")))
     daily = daily_sums(df, keys, bands, date).repartition(*keys)
-    placed = (daily.withColumn("window_end", F.explode(ends))
+    placed = (daily.withColumns({"_newest": cal.month_end(end), "_oldest": F.add_months(cal.month_floor(end), 1 - n_windows)})
+              .withColumn("window_end", F.explode(ends))
               .withColumn("slot", cal.backward_slot(date, "window_end", steps, days)))
     slots = placed.groupBy(*keys, "window_end", "slot").agg(
         (F.sum(F.unix_date(date) * F.col("n_obs")) / F.sum("n_obs")).alias("_day"),
@@ -162,9 +163,11 @@ def month_window_series(df: DataFrame, keys: Sequence[str], bands: Sequence[str]
     slot_day = F.transform(order, lambda s: F.coalesce(
         F.floor(F.try_element_at(F.col("_m"), s)["_day"]).cast("int"),
         F.unix_date(F.date_sub("window_end", (F.lit(steps - 1) - s) * days))))
-    arrays = {b: F.transform(order, lambda s, b=b: F.coalesce(F.try_element_at(F.col("_m"), s)[b], F.lit(0.0)))
-              for b in bands}
-    return (rows.withColumn("_days", slot_day).withColumns(arrays)
+
+    def slot_values(band: str) -> Column:
+        return F.transform(order, lambda s: F.coalesce(F.try_element_at(F.col("_m"), s)[band], F.lit(0.0)))
+
+    return (rows.withColumn("_days", slot_day).withColumns({b: slot_values(b) for b in bands})
             .select(*keys, "window_end", F.date_from_unix_date(F.col("_days")[0]).alias("first_date"),
                     F.transform("_days", lambda d: (d - F.col("_days")[0]).cast("double")).alias("days"), *bands))
 

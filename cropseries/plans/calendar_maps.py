@@ -30,7 +30,7 @@ def smoothed_series(observations: DataFrame, keys: Sequence[str], end, n_windows
     """Mask, composite every month window, EVI, smooth: one row per pixel and window."""
     masked = bands.fmask_mask(observations, BANDS, bits)
     windows = timegrid.month_window_series(masked, keys, BANDS, end, n_windows, n_months, days)
-    return vi_array(windows).withColumn("is_crop", F.lit(True)).transform(series.smooth_series).drop("is_crop")
+    return series.smooth_series(vi_array(windows), crop=None)
 
 
 def _stage_days(fitted: DataFrame, ids: Sequence[str]) -> DataFrame:

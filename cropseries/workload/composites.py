@@ -183,7 +183,7 @@ def smooth_series(t):
 
 
 def smooth_curves(t):
-    return series.smooth_series(month_curves(t).withColumn("is_crop", F.lit(True))).drop("is_crop")
+    return series.smooth_series(month_curves(t), crop=None)
 
 
 MATCHED = f"""{SMOOTH},
@@ -279,25 +279,24 @@ def suppress_rare(t):
     return phenology.suppress_rare(phenology.biweekly_snap(_doys(t)), ["stage"])
 
 
-_SHIFT = "CAST((i * 14 + 1) * (0.8 + ref_id % 5 * 0.1) + (1 - (0.8 + ref_id % 5 * 0.1)) * (20 + ref_id % 10) + (ref_id % 13 - 6) * (0.8 + ref_id % 5 * 0.1) AS DOUBLE)"
+# 8e-1 is a DOUBLE literal, 0.8 would be a DECIMAL
+_SCALE, _P0, _MOVE = "(8e-1 + s_suppkey % 5 * 1e-1)", "(20 + s_suppkey % 60)", "(s_suppkey % 13 - 6)"
 
 
 @query("curve_shift", f"""
     WITH r AS (SELECT ref_id, LIST(vi ORDER BY step) AS v FROM $reference_points GROUP BY 1),
-         p AS (SELECT ref_id, v, CAST(i AS INT) AS step,
-                      LEAST(GREATEST((FLOOR(LEAST(GREATEST({_SHIFT}, 0), 179) * 100) / 100 - 1) / 14, 0), 12) AS pos
-               FROM (SELECT *, UNNEST(RANGE(0, 13)) AS i FROM r))
-    SELECT l_orderkey, l_linenumber, ref_id, step,
-           {r6('(v[CAST(FLOOR(pos) AS INT) + 1] + (v[LEAST(CAST(FLOOR(pos) AS INT) + 2, 13)] - v[CAST(FLOOR(pos) AS INT) + 1]) * (pos - FLOOR(pos))) * l_quantity', 'vi')}
-    FROM p JOIN lineitem ON l_suppkey % 25 = ref_id""")
+         p AS (SELECT s_suppkey, v, CAST(i AS INT) AS step, LEAST(GREATEST((FLOOR(LEAST(GREATEST(
+                   (i * 14 + 1) * {_SCALE} + (1 - {_SCALE}) * {_P0} + {_MOVE} * {_SCALE}, 0), 179) * 100) / 100 - 1) / 14, 0), 12) AS pos
+               FROM (SELECT s_suppkey, v, UNNEST(RANGE(0, 13)) AS i FROM r JOIN supplier ON s_nationkey = ref_id))
+    SELECT s_suppkey, step,
+           {r6('v[CAST(FLOOR(pos) AS INT) + 1] + (v[LEAST(CAST(FLOOR(pos) AS INT) + 2, 13)] - v[CAST(FLOOR(pos) AS INT) + 1]) * (pos - FLOOR(pos))', 'vi')}
+    FROM p""")
 def curve_shift(t):
-    n = F.col("ref_id")
-    scale = F.lit(0.8) + n % 5 * 0.1
-    shifted = references(t).withColumn("vi", curves.curve_shift("vi", (F.lit(20) + n % 10).cast("double"),
-                                                                (n % 13 - 6).cast("double"), scale))
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_suppkey") % 25).cast("int").alias("ref_id"))
-    return rows.join(shifted.select("ref_id", F.posexplode("vi").alias("step", "vi")), "ref_id") \
-        .select("l_orderkey", "l_linenumber", "ref_id", "step", (F.col("vi") * F.col("l_quantity")).alias("vi"))
+    """Each supplier's curve is its nation's, moved and stretched by its own parameters."""
+    n = F.col("s_suppkey")
+    curve = t.supplier.join(references(t), F.col("s_nationkey") == F.col("ref_id"))
+    shifted = curves.curve_shift("vi", (F.lit(20) + n % 60).cast("double"), (n % 13 - 6).cast("double"), F.lit(0.8) + n % 5 * 0.1)
+    return curve.select("s_suppkey", F.posexplode(shifted).alias("step", "vi"))
 
 
 def _rules(zero_is_missing: bool) -> str:

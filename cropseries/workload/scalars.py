@@ -115,7 +115,7 @@ def standard_scale(t):
 
 @query("minmax_scale", f"""
     SELECT {PX}, {r6('CASE WHEN nir = 0 THEN 0 ELSE (nir - lo) / (hi - lo) END', 'nir')}
-    FROM $px_series, (SELECT MIN(l_quantity / 100) AS lo, MAX(l_quantity / 100) AS hi FROM lineitem)""")
+    FROM $px_series, (SELECT MIN(0.1 + l_quantity / 100) AS lo, MAX(0.1 + l_quantity / 100) AS hi FROM lineitem)""")
 def minmax_scale(t):
     return bands.minmax_scale(t.px_series, "nir").select("pixel_id", "obs_date", "nir")
 

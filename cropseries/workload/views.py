@@ -10,12 +10,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
-    # dense series: one pixel per supplier
+    # dense series: one pixel per supplier; near infrared always exceeds red, so no mean falls on an exact zero index
     "px_series": """
         SELECT CAST(l_suppkey AS INT) AS pixel_id, CAST(FLOOR(l_suppkey / 2304) AS INT) AS tile_id,
                CAST(FLOOR((l_suppkey % 2304) / 48) AS INT) AS y, CAST(l_suppkey % 48 AS INT) AS x,
                CAST(l_shipdate AS DATE) AS obs_date, l_tax * 0.5 AS blue, l_discount AS green, l_tax AS red,
-               l_quantity / 100 AS nir, l_discount * 2 AS swir1,
+               0.1 + l_quantity / 100 AS nir, l_discount * 2 AS swir1,
                CASE l_linenumber WHEN 1 THEN 2 WHEN 2 THEN 8 WHEN 3 THEN 32 ELSE 64 END AS fmask
         FROM $lineitem""",
     # 48 x 48 tiles: one pixel per part
@@ -70,7 +70,7 @@ VIEWS = {
         FROM $lineitem""",
     "reference_points": """
         SELECT n_nationkey AS ref_id, s.step AS step,
-               ROUND(0.45 + 0.25 * SIN((s.step - 1.0 * (n_nationkey % 13)) * 0.5), 6) AS vi
+               0.45 + 0.25 * SIN((s.step - n_nationkey % 13) / 2) AS vi
         FROM $nation CROSS JOIN $steps s""",
     "patch_files": """
         SELECT s_suppkey, s_acctbal, concat('t', CAST(s_nationkey AS STRING), '_20231patch_',
