@@ -76,28 +76,30 @@ def _rectangle(seed: int, ids: Sequence[str], n: int, area: Column, height: int,
 
 
 def block_rectangles(seed: int, ids: Sequence[str], height: int, width: int, max_share: float = 0.15,
-                     n_blocks: int = 4) -> Column:
-    """Rectangles of one (patch, step) whose areas add up to at most the drawn share of the image."""
+                     n_blocks: int = 4) -> list[Column]:
+    """Rectangles (NULL when too small) of one (patch, step) whose areas add up to at most the drawn share of the image."""
     budget = unit_hash(seed, *ids) * max_share * height * width
     raw = [unit_hash(seed * 1009 + 500_009 + i, *ids) + 0.1 for i in range(n_blocks)]
     total = sum(raw[1:], raw[0])
-    blocks = []
-    for n, weight in enumerate(raw):
-        # a rounded rectangle can exceed its target by half a pixel per side, hence the reserve
-        area = budget * weight / total * 0.6
-        blocks.append(F.when(area >= 4, _rectangle(seed, ids, n, area, height, width)))
-    return F.filter(F.array(*blocks), lambda b: b.isNotNull())
+    # a rounded rectangle can exceed its target by half a pixel per side, hence the reserve
+    areas = [budget * weight / total * 0.6 for weight in raw]
+    return [F.when(area >= 4, _rectangle(seed, ids, n, area, height, width)) for n, area in enumerate(areas)]
 
 
 def mask_blocks(df: DataFrame, step_ids: Sequence[str], bands: Sequence[str], height: int, width: int, seed: int,
                 max_share: float = 0.15) -> DataFrame:
     """Zero random rectangles of each time step.
 
-    A row can derive its step's rectangles from the hashed step key, so no rectangle table has to be joined.
+    A row derives its step's rectangles from the hashed step key, so no rectangle table has to be joined.
     """
     rects = block_rectangles(seed, step_ids, height, width, max_share)
-    hit = F.exists(rects, lambda r: (F.col("y") >= r["y1"]) & (F.col("y") < r["y2"]) & (F.col("x") >= r["x1"]) & (F.col("x") < r["x2"]))
-    return df.withColumns({b: F.when(hit, F.lit(0.0)).otherwise(F.col(b)) for b in bands})
+    names = [f"_r{i}" for i in range(len(rects))]
+    hit = F.lit(False)
+    for n in names:
+        r = F.col(n)
+        hit = hit | F.coalesce((F.col("y") >= r["y1"]) & (F.col("y") < r["y2"]) & (F.col("x") >= r["x1"]) & (F.col("x") < r["x2"]), F.lit(False))
+    drawn = df.withColumns(dict(zip(names, rects))).withColumn("_hit", hit).drop(*names)
+    return drawn.withColumns({b: F.when(F.col("_hit"), F.lit(0.0)).otherwise(F.col(b)) for b in bands}).drop("_hit")
 
 
 def _normal(seed: int, *ids: str | Column) -> Column:

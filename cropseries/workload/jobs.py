@@ -1,0 +1,104 @@
+"""Composed phenology jobs, clustering, scoring, splits and seeded augmentations.
+
+Most have no SQL form (iterative fits, hash-ordered draws); the tests check them against NumPy or invariants.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..operators import augment, clustering, matching, phenology, scoring, splits
+from ..plans import calendar_maps
+from .catalog import references
+from .composites import smooth_curves
+from .registry import query
+
+IMAGE = ["tile_id", "y", "x"]
+
+
+def _end(t):
+    return t.px_series.agg(F.max("obs_date").alias("d")).scalar()
+
+
+@query("smfs_fit")
+def smfs_fit(t):
+    """Stage days of every pixel, month window and stage of its nearest reference."""
+    matched = matching.nearest_reference(smooth_curves(t), ["pixel_id", "window_end"], references(t), 0.9, ["ref_vi", "phen_days"])
+    stages = matched.select("pixel_id", "window_end", "ref_id", "vi", "ref_vi", F.posexplode("phen_days").alias("position", "p0"))
+    return phenology.smfs_fit(stages)
+
+
+@query("phenology_pixels")
+def phenology_pixels(t):
+    return calendar_maps.phenology_pixels(t.px_series, t.class_map, references(t), _end(t), 1200, threshold=0.9)
+
+
+def _clusters(t):
+    """Clusters of the pixels from their mean band values."""
+    means = t.px_series.groupBy(*IMAGE).agg(*[F.avg(b).alias(b) for b in ("blue", "green", "red", "nir")])
+    features = means.select(*IMAGE, F.array("blue", "green", "red", "nir").alias("features"))
+    return clustering.token_clusters(features, 8).select(*IMAGE, "cluster_id")
+
+
+@query("phenology_clusters")
+def phenology_clusters(t):
+    return calendar_maps.phenology_clusters(t.px_series, t.class_map, _clusters(t), references(t), _end(t), 1200,
+                                            reference_threshold=0.9, pixel_threshold=0.9)
+
+
+@query("token_reduce")
+def token_reduce(t):
+    reduced = clustering.token_reduce(t.tokens.select("vec_id", "tile_id", "embedding"))
+    return reduced.select("vec_id", "tile_id", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"))
+
+
+@query("token_clusters")
+def token_clusters(t):
+    reduced = clustering.token_reduce(t.tokens.select("vec_id", "tile_id", "embedding"))
+    return clustering.token_clusters(reduced, 6).select("vec_id", "tile_id", "cluster_id")
+
+
+@query("score_batches")
+def score_batches(t):
+    """Seven class scores per token from a fixed linear model."""
+    weights = np.cos(np.outer(np.arange(64), np.arange(1, 8)))
+    return scoring.score_batches(t.tokens.select("vec_id", "embedding"), lambda m, w: m @ w, "embedding", ["vec_id"], weights) \
+        .select("vec_id", "class", "error", F.array_max("scores").alias("top_score"))
+
+
+@query("split_by_tile")
+def split_by_tile(t):
+    return splits.split_by_tile(t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("tile_id")))
+
+
+@query("random_split")
+def random_split(t):
+    return splits.random_split(t.orders.select("o_orderkey"), ["o_orderkey"])
+
+
+@query("subset")
+def subset(t):
+    return splits.subset(t.orders.select("o_orderkey"), ["o_orderkey"])
+
+
+@query("mask_times")
+def mask_times(t):
+    return augment.mask_times(t.px_series.select("pixel_id", "obs_date", "nir", "green"), ["pixel_id"], "obs_date", ["nir", "green"], seed=42)
+
+
+@query("mask_blocks")
+def mask_blocks(t):
+    return augment.mask_blocks(t.px_raster, ["tile_id", "obs_date"], ["nir", "red"], 48, 48, seed=42)
+
+
+@query("add_noise")
+def add_noise(t):
+    return augment.add_noise(t.px_raster, ["tile_id", "obs_date"], [*IMAGE, "obs_date", "green"], ["nir", "red"], seed=42)
+
+
+@query("cutmix")
+def cutmix(t):
+    patches = t.px_series.groupBy("pixel_id", F.col("fmask").alias("y"), F.month("obs_date").alias("x")).agg(
+        F.max("nir").alias("nir"), F.min("green").alias("green"))
+    return augment.cutmix(patches, "pixel_id", ["nir", "green"], seed=42, height=65, width=13)
