@@ -64,42 +64,46 @@ def mask_times(df: DataFrame, patch: Sequence[str], step: str, bands: Sequence[s
     return joined.withColumns({b: F.when(F.col("_hit"), F.lit(0.0)).otherwise(F.col(b)) for b in bands}).drop("_hit")
 
 
-def _rectangle(seed: int, ids: Sequence[str], n: int, area: Column, height: int, width: int) -> Column:
-    """n-th seeded rectangle with the given target area and an aspect ratio between 0.3 and 1/0.3."""
-    u = [unit_hash(seed * 1009 + n * 4 + i, *ids) for i in range(3)]
-    aspect = F.exp((u[0] * 2 - 1) * math.log(1 / 0.3))
-    h = F.least(F.round(F.sqrt(area * aspect)).cast("int"), F.lit(height))
-    w = F.least(F.round(F.sqrt(area / aspect)).cast("int"), F.lit(width))
-    top = F.floor(u[1] * (F.lit(height + 1) - h)).cast("int")
-    left = F.floor(u[2] * (F.lit(width + 1) - w)).cast("int")
-    return F.struct(top.alias("y1"), left.alias("x1"), (top + h).alias("y2"), (left + w).alias("x2"))
-
-
-def block_rectangles(seed: int, ids: Sequence[str], height: int, width: int, max_share: float = 0.15,
-                     n_blocks: int = 4) -> list[Column]:
-    """Rectangles (NULL when too small) of one (patch, step) whose areas add up to at most the drawn share of the image."""
-    budget = unit_hash(seed, *ids) * max_share * height * width
-    raw = [unit_hash(seed * 1009 + 500_009 + i, *ids) + 0.1 for i in range(n_blocks)]
-    total = sum(raw[1:], raw[0])
+def block_rectangles(df: DataFrame, ids: Sequence[str], height: int, width: int, seed: int, max_share: float = 0.15,
+                     n_blocks: int = 4) -> DataFrame:
+    """Add ``n_blocks`` seeded rectangles (``_y1_i``, ``_x1_i``, ``_h_i``, ``_w_i``) of each (patch, step).
+
+    Their areas split a drawn share of the image; the aspect ratio lies between 0.3 and 1/0.3. Rectangles under
+    four pixels are NULL.
+    """
+    blocks = range(n_blocks)
+    df = df.withColumn("_budget", unit_hash(seed, *ids) * max_share * height * width)
+    df = df.withColumns({f"_u_{i}": unit_hash(seed * 1009 + 500_009 + i, *ids) + 0.1 for i in blocks})
+    total = sum((F.col(f"_u_{i}") for i in blocks[1:]), F.col("_u_0"))
     # a rounded rectangle can exceed its target by half a pixel per side, hence the reserve
-    areas = [budget * weight / total * 0.6 for weight in raw]
-    return [F.when(area >= 4, _rectangle(seed, ids, n, area, height, width)) for n, area in enumerate(areas)]
+    df = df.withColumns({f"_a_{i}": F.col("_budget") * F.col(f"_u_{i}") / total * 0.6 for i in blocks})
+    shape = {}
+    for i in blocks:
+        area = F.when(F.col(f"_a_{i}") >= 4, F.col(f"_a_{i}"))
+        aspect = F.exp((unit_hash(seed * 1009 + i * 3, *ids) * 2 - 1) * math.log(1 / 0.3))
+        shape[f"_h_{i}"] = F.least(F.round(F.sqrt(area * aspect)).cast("int"), F.lit(height))
+        shape[f"_w_{i}"] = F.least(F.round(F.sqrt(area / aspect)).cast("int"), F.lit(width))
+    df = df.withColumns(shape)
+    corner = {}
+    for i in blocks:
+        corner[f"_y1_{i}"] = F.floor(unit_hash(seed * 1009 + i * 3 + 1, *ids) * (F.lit(height + 1) - F.col(f"_h_{i}"))).cast("int")
+        corner[f"_x1_{i}"] = F.floor(unit_hash(seed * 1009 + i * 3 + 2, *ids) * (F.lit(width + 1) - F.col(f"_w_{i}"))).cast("int")
+    return df.withColumns(corner).drop("_budget", *[f"_{c}_{i}" for i in blocks for c in "ua"])
 
 
 def mask_blocks(df: DataFrame, step_ids: Sequence[str], bands: Sequence[str], height: int, width: int, seed: int,
-                max_share: float = 0.15) -> DataFrame:
+                max_share: float = 0.15, n_blocks: int = 4) -> DataFrame:
     """Zero random rectangles of each time step.
 
     A row derives its step's rectangles from the hashed step key, so no rectangle table has to be joined.
     """
-    rects = block_rectangles(seed, step_ids, height, width, max_share)
-    names = [f"_r{i}" for i in range(len(rects))]
     hit = F.lit(False)
-    for n in names:
-        r = F.col(n)
-        hit = hit | F.coalesce((F.col("y") >= r["y1"]) & (F.col("y") < r["y2"]) & (F.col("x") >= r["x1"]) & (F.col("x") < r["x2"]), F.lit(False))
-    drawn = df.withColumns(dict(zip(names, rects))).withColumn("_hit", hit).drop(*names)
-    return drawn.withColumns({b: F.when(F.col("_hit"), F.lit(0.0)).otherwise(F.col(b)) for b in bands}).drop("_hit")
+    for i in range(n_blocks):
+        dy, dx = F.col("y") - F.col(f"_y1_{i}"), F.col("x") - F.col(f"_x1_{i}")
+        hit = hit | F.coalesce((dy >= 0) & (dy < F.col(f"_h_{i}")) & (dx >= 0) & (dx < F.col(f"_w_{i}")), F.lit(False))
+    drawn = block_rectangles(df, step_ids, height, width, seed, max_share, n_blocks).withColumn("_hit", hit)
+    return drawn.select(*[(F.when(F.col("_hit"), F.lit(0.0)).otherwise(F.col(c)).alias(c) if c in bands else F.col(c))
+                          for c in df.columns])
 
 
 def _normal(seed: int, *ids: str | Column) -> Column:

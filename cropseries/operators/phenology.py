@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import calendar as cal, labels
-from ..relational import exact_median
+from ..relational import exact_median, spread
 
 STAGE_COLUMNS = ("greenup", "maturity", "senescence", "dormancy")
 
@@ -216,14 +216,15 @@ def smfs_fit(df: DataFrame, vi: str = "vi", reference: str = "ref_vi", p0: str =
             result[out] = np.concatenate(days)
             yield result
 
-    return df.mapInPandas(fit, schema)
+    return spread(df, *names).mapInPandas(fit, schema)
 
 
 def fit_stages(matched: DataFrame, ids: Sequence[str], vi: str = "vi", ref_vi: str = "ref_vi",
                phen_days: str = "phen_days") -> DataFrame:
     """All stages of each matched row in one pass: greenup .. dormancy days (NULL where the reference has no such stage).
 
-    The fit runs on whole rows inside the task and folds its stages there, so no shuffle follows.
+    Rows are first spread evenly over the tasks, since the fit dominates; its stages fold inside the task, so no
+    shuffle follows.
     """
     id_fields = [df_field for df_field in matched.schema.fields if df_field.name in ids]
     schema = T.StructType([*id_fields, *[T.StructField(c, T.DoubleType()) for c in STAGE_COLUMNS]])
@@ -247,5 +248,5 @@ def fit_stages(matched: DataFrame, ids: Sequence[str], vi: str = "vi", ref_vi: s
                 result[column] = values
             yield result
 
-    fitted = matched.select(*names, vi, ref_vi, phen_days).mapInPandas(fit, schema)
+    fitted = spread(matched.select(*names, vi, ref_vi, phen_days), *names).mapInPandas(fit, schema)
     return fitted.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in STAGE_COLUMNS})

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import calendar as cal
-from ..relational import seeded_hash, with_group_stats
+from ..relational import seeded_hash, spread, with_group_stats
 
 
 def _date(value: str | dt.date | Column) -> Column:
@@ -150,7 +150,7 @@ def month_window_series(df: DataFrame, keys: Sequence[str], bands: Sequence[str]
     ends = F.filter(cal.month_ends_back(F.add_months(cal.month_floor(date), n_months + 1), n_months + 2),
                     lambda e: (e >= F.col(date)) & (F.datediff(e, date) < steps * days) & (e <= F.col("_newest"))
                     & (e >= F.col("_oldest")))
-    daily = daily_sums(df, keys, bands, date).repartition(*keys)
+    daily = spread(daily_sums(df, keys, bands, date), *keys)
     placed = (daily.withColumns({"_newest": cal.month_end(end), "_oldest": F.add_months(cal.month_floor(end), 1 - n_windows)})
               .withColumn("window_end", F.explode(ends))
               .withColumn("slot", cal.backward_slot(date, "window_end", steps, days)))

@@ -26,6 +26,15 @@ def unit_hash(seed: int, *cols: str | Column) -> Column:
     return F.pmod(seeded_hash(seed, *cols), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all shuffle partitions, keeping that number.
+
+    For steps that cost far more time than bytes (window expansion, curve fits): size-based coalescing would
+    put their small input into a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Counts at most ``max_rows + 1`` rows."""
     return df.limit(max_rows + 1).count() <= max_rows
