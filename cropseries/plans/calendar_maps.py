@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import labels, spectral
 from ..operators import bands, matching, phenology, series, timegrid
+from ..session import written_table
 
 BANDS = ("blue", "red", "nir")
 
@@ -82,7 +83,8 @@ def phenology_clusters(observations: DataFrame, class_map: DataFrame, clusters:
     keys, image = list(keys), list(image)
     pixels = crop_pixels(class_map, keys)
     crops = pixels.filter(F.col("crop_mask") == 1).select(*keys)
-    curves = smoothed_series(observations.join(crops, keys, "left_semi"), keys, end, n_windows)
+    # read three times below (bracket, median, pixel match), so the curves are stored once
+    curves = written_table(smoothed_series(observations.join(crops, keys, "left_semi"), keys, end, n_windows), "curves")
     group = [*image, "window_end"]
     labelled = curves.join(clusters, keys)
     medians = phenology.cluster_curve(labelled.select(*group, "cluster_id", "vi"), [*group, "cluster_id"])
