@@ -79,10 +79,10 @@ def block_rectangles(df: DataFrame, ids: Sequence[str], height: int, width: int,
     df = df.withColumns({f"_a_{i}": F.col("_budget") * F.col(f"_u_{i}") / total * 0.6 for i in blocks})
     shape = {}
     for i in blocks:
-        area = F.when(F.col(f"_a_{i}") >= 4, F.col(f"_a_{i}"))
+        area, drawn = F.col(f"_a_{i}"), F.col(f"_a_{i}") >= 4
         aspect = F.exp((unit_hash(seed * 1009 + i * 3, *ids) * 2 - 1) * math.log(1 / 0.3))
-        shape[f"_h_{i}"] = F.least(F.round(F.sqrt(area * aspect)).cast("int"), F.lit(height))
-        shape[f"_w_{i}"] = F.least(F.round(F.sqrt(area / aspect)).cast("int"), F.lit(width))
+        shape[f"_h_{i}"] = F.when(drawn, F.least(F.round(F.sqrt(area * aspect)).cast("int"), F.lit(height)))
+        shape[f"_w_{i}"] = F.when(drawn, F.least(F.round(F.sqrt(area / aspect)).cast("int"), F.lit(width)))
     df = df.withColumns(shape)
     corner = {}
     for i in blocks:

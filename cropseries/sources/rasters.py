@@ -18,8 +18,10 @@ def write_raster(df: DataFrame, path: str, tile: str = "tile_id", files_per_tile
 
 
 def read_raster(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    """Read a raster table; with a schema, its column order is restored (partition columns otherwise come last)."""
+    if schema is None:
+        return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 class MosaicConflict(ValueError):
