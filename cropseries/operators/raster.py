@@ -19,12 +19,14 @@ def _pixel_grid(images: DataFrame, keys: Sequence[str], height: int, width: int)
             .select(*keys, "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x")))
 
 
-def complete_grid(df: DataFrame, keys: Sequence[str], bands: Sequence[str], height: int, width: int) -> DataFrame:
+def complete_grid(df: DataFrame, images: DataFrame, keys: Sequence[str], bands: Sequence[str], height: int,
+                  width: int) -> DataFrame:
     """Zero-filled full images: the empty grid is stacked under the pixels and both fold in one grouping.
 
-    Keeps one row per pixel; a union and a grouping replace the join with a generated grid.
+    Keeps one row per pixel; a union and a grouping replace the join with a generated grid. ``images`` lists the
+    keys, so an image without any pixel left still comes out.
     """
-    blank = _pixel_grid(df.select(*keys).distinct(), keys, height, width)
+    blank = _pixel_grid(images, keys, height, width)
     stacked = df.select(*keys, "y", "x", *bands).unionByName(blank, allowMissingColumns=True)
     return stacked.groupBy(*keys, "y", "x").agg(*[F.coalesce(F.max(b), F.lit(0)).alias(b) for b in bands])
 
@@ -32,6 +34,7 @@ def complete_grid(df: DataFrame, keys: Sequence[str], bands: Sequence[str], heig
 def crop_pad(df: DataFrame, keys: Sequence[str], bands: Sequence[str], size: int, height: int | Column | None = None,
              width: int | Column | None = None) -> DataFrame:
     """Centre crop to ``size``; smaller images are zero-padded at the bottom and right."""
+    images = df.select(*keys).distinct()
     if height is None or width is None:
         df = with_group_stats(df, keys, (F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
         height, width = F.col("_h"), F.col("_w")
@@ -40,7 +43,7 @@ def crop_pad(df: DataFrame, keys: Sequence[str], bands: Sequence[str], size: int
     off = lambda n: F.greatest(F.lit(0), F.floor((n - size) / 2)).cast("int")
     moved = df.withColumns({"y": F.col("y") - off(height), "x": F.col("x") - off(width)})
     inside = moved.filter(F.col("y").between(0, size - 1) & F.col("x").between(0, size - 1))
-    return complete_grid(inside, keys, bands, size, size)
+    return complete_grid(inside, images, keys, bands, size, size)
 
 
 def orient_y(df: DataFrame, keys: Sequence[str]) -> DataFrame:
