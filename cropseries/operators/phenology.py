@@ -28,7 +28,8 @@ def cluster_curve(df: DataFrame, keys: Sequence[str], method: str = "median", dr
                   vi: str = "vi") -> DataFrame:
     """Median or mean curve per cluster and step; rows with a missing value (and, by default, all-zero rows) left out.
 
-    Clusters can hold a large share of all pixels, so the median is computed by bracketing, not by collecting.
+    Clusters can hold a large share of all pixels, so the median is computed by bracketing, not by collecting; that
+    reads the curves twice, so store curves that are expensive to compute first.
     """
     usable = F.forall(vi, lambda v: v.isNotNull())
     if drop_zero_rows:
@@ -132,25 +133,25 @@ SHIFT_STEP, SCALE_STEP, SHIFT_NEAR, SCALE_NEAR = 1, 0.05, 4, 0.2
 def _fit_losses(target: np.ndarray, reference: np.ndarray, p0: np.ndarray, shift: np.ndarray,
                 scale: np.ndarray) -> np.ndarray:
     """1 - Pearson r for (rows x candidates) shift/scale pairs, inside the window around the shifted stage day."""
-    days = FIRST_DAY + DAY_STEP * np.arange(N_POINTS, dtype=float)
     p, s, k = p0[:, None, None], shift[..., None], scale[..., None]
-    position = np.clip(days * k + (1 - k) * p + s * k, 0.0, 179.0)
+    width = HALF_WINDOW // DAY_STEP * 2 + 1
+    first = np.maximum(np.trunc((p[..., 0] - shift - HALF_WINDOW) / DAY_STEP), 0).astype(np.int64)
+    length = np.minimum(width, N_POINTS - first - 1)
+    # only the points of the window are evaluated
+    inside = np.arange(width) < length[..., None]
+    steps = np.minimum(first[..., None] + np.arange(width), N_POINTS - 1)
+    position = np.clip((FIRST_DAY + DAY_STEP * steps) * k + (1 - k) * p + s * k, 0.0, 179.0)
     # the reference curve is read on a 0.01-day grid and is flat outside its own days
     place = np.clip((np.floor(position * 100) * 0.01 - FIRST_DAY) / DAY_STEP, 0.0, N_POINTS - 1.0)
     left = np.minimum(place.astype(np.int64), N_POINTS - 2)
     row = np.arange(len(target))[:, None, None]
     low = reference[row, left]
-    model = low + (reference[row, left + 1] - low) * (place - left)
-    first = np.maximum(np.trunc((p[..., 0] - shift - HALF_WINDOW) / DAY_STEP), 0).astype(int)
-    length = np.minimum(HALF_WINDOW // DAY_STEP * 2 + 1, N_POINTS - first - 1)
-    steps = np.arange(N_POINTS)
-    inside = (steps >= first[..., None]) & (steps < (first + length)[..., None])
+    x = low + (reference[row, left + 1] - low) * (place - left)
+    y = target[row, steps]
     count = np.maximum(length, 1)[..., None]
-    x = np.where(inside, model, 0.0)
-    y = np.where(inside, target[:, None, :], 0.0)
-    x = np.where(inside, x - x.sum(axis=2, keepdims=True) / count, 0.0)
-    y = np.where(inside, y - y.sum(axis=2, keepdims=True) / count, 0.0)
-    r = (x * y).sum(axis=2) / (np.sqrt((x * x).sum(axis=2)) + 1e-6) / (np.sqrt((y * y).sum(axis=2)) + 1e-6)
+    x, y = (np.where(inside, v - np.where(inside, v, 0.0).sum(axis=2, keepdims=True) / count, 0.0) for v in (x, y))
+    dot = lambda a, b: np.einsum("ijk,ijk->ij", a, b)
+    r = dot(x, y) / (np.sqrt(dot(x, x)) + 1e-6) / (np.sqrt(dot(y, y)) + 1e-6)
     return np.where(length > 0, 1.0 - r, 1.0)
 
 
@@ -198,7 +199,7 @@ def fit_stage_days(target: np.ndarray, reference: np.ndarray, p0: np.ndarray) ->
 
 
 def smfs_fit(df: DataFrame, vi: str = "vi", reference: str = "ref_vi", p0: str = "p0", out: str = "day",
-             chunk: int = 2048) -> DataFrame:
+             chunk: int = 256) -> DataFrame:
     """Shape-model fit of one stage per row, in Arrow batches."""
     passed = [f for f in df.schema.fields if f.name not in (vi, reference, p0)]
     schema = T.StructType([*passed, T.StructField(out, T.DoubleType())])
@@ -239,7 +240,7 @@ def fit_stages(matched: DataFrame, ids: Sequence[str], vi: str = "vi", ref_vi: s
             counts = np.array([len(d) for d in stage_days])
             for position, column in enumerate(STAGE_COLUMNS):
                 values = np.full(len(batch), np.nan)
-                for rows in np.array_split(np.flatnonzero(counts > position), max(1, len(batch) // 2048)):
+                for rows in np.array_split(np.flatnonzero(counts > position), max(1, len(batch) // 256)):
                     if len(rows):
                         values[rows] = fit_stage_days(
                             np.stack(batch[vi].to_numpy()[rows]).astype(float),

@@ -147,13 +147,14 @@ def month_window_series(df: DataFrame, keys: Sequence[str], bands: Sequence[str]
     """
     steps = cal.slot_count(n_months, days)
     end = _date(end) if not isinstance(end, Column) else end
-    ends = F.filter(cal.month_ends_back(F.add_months(cal.month_floor(date), n_months + 1), n_months + 2),
-                    lambda e: (e >= F.col(date)) & (F.datediff(e, date) < steps * days) & (e <= F.col("_newest"))
-                    & (e >= F.col("_oldest")))
     daily = spread(daily_sums(df, keys, bands, date), *keys)
+    # a day lies in the windows ending in its own month and in the following ones the span can reach
+    first = cal.month_floor(date)
+    reach = F.array(*[cal.month_end(F.add_months(first, i)) for i in range(steps * days // 28 + 2)])
     placed = (daily.withColumns({"_newest": cal.month_end(end), "_oldest": F.add_months(cal.month_floor(end), 1 - n_windows)})
-              .withColumn("window_end", F.explode(ends))
-              .withColumn("slot", cal.backward_slot(date, "window_end", steps, days)))
+              .withColumn("window_end", F.explode(reach))
+              .filter(F.col("window_end").between(F.col("_oldest"), F.col("_newest")))
+              .withColumn("slot", cal.backward_slot(date, "window_end", steps, days)).filter(F.col("slot").isNotNull()))
     slots = placed.groupBy(*keys, "window_end", "slot").agg(
         (F.sum(F.unix_date(date) * F.col("n_obs")) / F.sum("n_obs")).alias("_day"),
         *[F.coalesce(F.try_divide(F.sum(f"{b}_sum"), F.sum(f"{b}_n")), F.lit(0.0)).alias(b) for b in bands])

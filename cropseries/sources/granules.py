@@ -88,8 +88,8 @@ def band_links(granules: DataFrame, links: str = "links") -> DataFrame:
     suffixes = F.create_map(*[F.lit(v) for product, assets in BAND_ASSETS.items()
                               for band, suffix in assets.items() for v in (f"{product}/{suffix}", band)])
     linked = granules.select("granule_id", "product", F.posexplode(links).alias("position", "link"))
-    name = F.element_at(F.split("link", "/"), -1)
-    suffix = F.element_at(F.split(name, r"\."), -2)
+    name = F.substring_index("link", "/", -1)
+    suffix = F.when(F.contains(name, F.lit(".")), F.substring_index(F.substring_index(name, ".", -2), ".", 1))
     band = F.try_element_at(suffixes, F.concat_ws("/", "product", suffix))
     return (linked.withColumn("band", band).filter(F.col("band").isNotNull())
             .groupBy("granule_id", "band").agg(F.min_by("link", "position").alias("link")))

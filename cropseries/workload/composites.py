@@ -8,6 +8,7 @@ from ..functions import curves
 from ..operators import matching, phenology, series, timegrid
 from ..operators.bands import fmask_mask
 from ..plans import calendar_maps
+from ..session import written_table
 from .catalog import references
 from .registry import day, query, r6
 
@@ -214,7 +215,7 @@ CLUSTERED = f"""{SMOOTH},
 
 
 def _labelled(t):
-    return smooth_curves(t).withColumns({"cluster_id": F.col("pixel_id") % 7,
+    return written_table(smooth_curves(t), "curves").withColumns({"cluster_id": F.col("pixel_id") % 7,
                                          "tile_id": F.floor(F.col("pixel_id") / 2304).cast("int")})
 
 

@@ -70,7 +70,7 @@ VIEWS = {
         FROM $lineitem""",
     "reference_points": """
         SELECT n_nationkey AS ref_id, s.step AS step,
-               0.45 + 0.25 * SIN((s.step - n_nationkey % 13) / 2) AS vi
+               0.45 + 0.25 * SIN((s.step - n_nationkey % 13) / 2) + 0.01 * FLOOR(n_nationkey / 13) AS vi
         FROM $nation CROSS JOIN $steps s""",
     "patch_files": """
         SELECT s_suppkey, s_acctbal, concat('t', CAST(s_nationkey AS STRING), '_20231patch_',
