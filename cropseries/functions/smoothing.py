@@ -15,6 +15,12 @@ from pyspark.sql import Column, functions as F
 CELLS = 4_000_000
 
 
+def _once(fn):
+    """Arrow function that the optimizer must not copy: a filter on its result would otherwise be pushed below the
+    projection together with a second evaluation."""
+    return F.arrow_udf(fn, "array<double>").asNondeterministic()
+
+
 def savgol_coefficients(window: int, degree: int) -> np.ndarray:
     """Central least-squares weights of a polynomial fit over ``window`` equally spaced points."""
     half = window // 2
@@ -85,7 +91,7 @@ def _by_length(smooth: Callable[..., np.ndarray], *lists: pa.Array) -> pa.Array:
 def kernel_regression(days: str | Column, values: str | Column, bandwidth: float = 0.03) -> Column:
     """Gaussian local-constant smoother at the same days. Fewer than three valid points return the input;
     a vanishing weight sum gives NULL."""
-    @F.arrow_udf("array<double>")
+    @_once
     def smooth(d: pa.Array, v: pa.Array) -> pa.Array:
         return _by_length(lambda x, y: kernel_matrix(x, y, bandwidth), d, v)
     return smooth(days, values)
@@ -96,7 +102,7 @@ def chen_sg(curve: str | Column, first: tuple[int, int] = (11, 7), second: tuple
     """Savitzky-Golay upper envelope; any missing point makes the whole curve missing."""
     w1, w2 = savgol_coefficients(*first), savgol_coefficients(*second)
 
-    @F.arrow_udf("array<double>")
+    @_once
     def smooth(v: pa.Array) -> pa.Array:
         return _by_length(lambda y: envelope_matrix(y, w1, w2, iterations), v)
     return smooth(curve)
@@ -109,7 +115,7 @@ def smooth_curve(days: str | Column, values: str | Column, bandwidth: float = 0.
     def both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.nan_to_num(envelope_matrix(kernel_matrix(x, y, bandwidth), w1, w2, 10))
 
-    @F.arrow_udf("array<double>")
+    @_once
     def smooth(d: pa.Array, v: pa.Array) -> pa.Array:
         return _by_length(both, d, v)
     return smooth(days, values)

@@ -27,16 +27,24 @@ def _usable(vi: str) -> Column:
     return F.forall(vi, lambda v: v.isNotNull()) & F.exists(vi, lambda v: v != 0)
 
 
+def _within(best: Column, keep) -> Column:
+    """The winner as a row, or no row. A generator, unlike a filter, does not make the optimizer compute it twice."""
+    return F.explode(F.filter(F.array(best), keep)).alias("_best")
+
+
 def _best(df: DataFrame, keys: Sequence[str], references: DataFrame, attach: Sequence[str], score) -> DataFrame:
     """Best reference per row over all blocks; ties go to the lowest reference id.
 
-    A library of one block (the usual case) is a plain lookup join. A larger one copies each series once
-    per block, keeps the block winner, and reduces the winners with a combining aggregate.
+    A library of one block (the usual case, its size is counted) is read once as a scalar, so nothing is joined.
+    A larger one copies each series once per block, keeps the block winner, and reduces the winners with a
+    combining aggregate.
     """
     blocks, n_blocks = _reference_blocks(references, ["vi", *[a for a in attach if a != "ref_vi"]])
-    probes = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))) if n_blocks > 1 else F.lit(0))
-    scored = score(join_lookup(probes, blocks, ["_block"], max_rows=64))
-    if n_blocks > 1:
+    if n_blocks == 1:
+        scored = score(df.withColumns({"_block": F.lit(0), "_refs": blocks.select("_refs").scalar()}))
+    else:
+        probes = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        scored = score(join_lookup(probes, blocks, ["_block"], max_rows=64))
         rest = [c for c in scored.columns if c not in keys]
         scored = scored.groupBy(*keys).agg(
             F.min_by(F.struct(*rest), F.struct(F.col("_best")["distance"], F.col("_best")["ref_id"])).alias("_w")) \
@@ -58,10 +66,9 @@ def nearest_reference(df: DataFrame, keys: Sequence[str], references: DataFrame,
         def candidate(r: Column) -> Column:
             return F.struct(curves.euclidean(r["vi"], vi).alias("distance"), r["ref_id"].alias("ref_id"),
                             r["vi"].alias("vi"), *[r[a].alias(a) for a in carried])
-        return joined.withColumn("_best", F.array_min(F.transform("_refs", candidate)))
+        return joined.select("*", _within(F.array_min(F.transform("_refs", candidate)), lambda b: b["distance"] <= threshold))
 
-    best = _best(df.filter(_usable(vi)), keys, references, attach, score)
-    return best.filter(F.col("distance") <= threshold)
+    return _best(df.filter(_usable(vi)), keys, references, attach, score)
 
 
 def _dtw(series: np.ndarray, refs: np.ndarray) -> np.ndarray:
@@ -82,7 +89,6 @@ def nearest_reference_dtw(df: DataFrame, keys: Sequence[str], references: DataFr
     """As ``nearest_reference`` with dynamic time warping; Arrow batches against the joined reference block."""
     result = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("distance", T.DoubleType())])
 
-    @F.pandas_udf(result)
     def closest(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for series, block, ref_curves in batches:
             position, distance = np.zeros(len(series), dtype=np.int32), np.zeros(len(series))
@@ -95,6 +101,7 @@ def nearest_reference_dtw(df: DataFrame, keys: Sequence[str], references: DataFr
                     position[part], distance[part] = d.argmin(axis=1), d.min(axis=1)
             yield pd.DataFrame({"position": position, "distance": distance})
 
+    closest = F.pandas_udf(closest, result).asNondeterministic()
     carried = [a for a in attach if a != "ref_vi"]
 
     def score(joined: DataFrame) -> DataFrame:
@@ -122,6 +129,6 @@ def pixel_cluster_match(pixels: DataFrame, clusters: DataFrame, group: Sequence[
     best = F.array_min(F.transform("_clusters", lambda c: F.struct(
         curves.euclidean(c["cluster_vi"], vi).alias("distance"), c["cluster_id"].alias("cluster_id"),
         *[c[n].alias(n) for n in carried])))
-    return (joined.withColumn("_best", best).filter(F.col("_best")["distance"] < threshold)
+    return (joined.select("*", _within(best, lambda b: b["distance"] < threshold))
             .select(*pixels.columns, F.col("_best")["distance"].alias("distance"),
                     F.col("_best")["cluster_id"].alias("cluster_id"), *[F.col("_best")[n].alias(n) for n in carried]))

@@ -137,21 +137,27 @@ def daily_sums(df: DataFrame, keys: Sequence[str], bands: Sequence[str], date: s
 
 
 def month_window_series(df: DataFrame, keys: Sequence[str], bands: Sequence[str], end: str | Column, n_windows: int,
-                        n_months: int = 6, days: int = 14, date: str = "obs_date") -> DataFrame:
+                        n_months: int = 6, days: int = 14, date: str = "obs_date",
+                        pixels: DataFrame | None = None) -> DataFrame:
     """Composites of many month windows at once, one row per key and window with slot-ordered arrays.
 
     Windows overlap, so each day belongs to several. Observations are first reduced to daily sums
     (spread over key and date), then regrouped once by key; the window explosion, slot means and
     array building all reuse that one partitioning. Columns: ``window_end``, ``first_date`` (date of slot 0),
-    ``days`` (slot day offsets from it) and one array per band, empty slots 0.
+    ``days`` (slot day offsets from it) and one array per band, empty slots 0. ``pixels`` (rows of ``keys``) keeps
+    those pixels only; it is applied to the daily sums, where no pixel exceeds the calendar, so a pixel with very
+    many observations cannot load one join task.
     """
     steps = cal.slot_count(n_months, days)
     end = _date(end) if not isinstance(end, Column) else end
-    daily = spread(daily_sums(df, keys, bands, date), *keys)
+    daily = daily_sums(df, keys, bands, date)
+    if pixels is not None:
+        daily = daily.join(pixels, list(keys), "left_semi")
+    daily = spread(daily, *keys).withColumn("_end", end)
     # a day lies in the windows ending in its own month and in the following ones the span can reach
     first = cal.month_floor(date)
     reach = F.array(*[cal.month_end(F.add_months(first, i)) for i in range(steps * days // 28 + 2)])
-    placed = (daily.withColumns({"_newest": cal.month_end(end), "_oldest": F.add_months(cal.month_floor(end), 1 - n_windows)})
+    placed = (daily.withColumns({"_newest": cal.month_end("_end"), "_oldest": F.add_months(cal.month_floor("_end"), 1 - n_windows)})
               .withColumn("window_end", F.explode(reach))
               .filter(F.col("window_end").between(F.col("_oldest"), F.col("_newest")))
               .withColumn("slot", cal.backward_slot(date, "window_end", steps, days)).filter(F.col("slot").isNotNull()))

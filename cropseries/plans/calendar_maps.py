@@ -27,10 +27,11 @@ def crop_pixels(class_map: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def smoothed_series(observations: DataFrame, keys: Sequence[str], end, n_windows: int, n_months: int = 6,
-                    days: int = 14, bits: Sequence[int] = spectral.SCENE_BITS) -> DataFrame:
+                    days: int = 14, bits: Sequence[int] = spectral.SCENE_BITS,
+                    pixels: DataFrame | None = None) -> DataFrame:
     """Mask, composite every month window, EVI, smooth: one row per pixel and window."""
     masked = bands.fmask_mask(observations, BANDS, bits)
-    windows = timegrid.month_window_series(masked, keys, BANDS, end, n_windows, n_months, days)
+    windows = timegrid.month_window_series(masked, keys, BANDS, end, n_windows, n_months, days, pixels=pixels)
     return series.smooth_series(vi_array(windows), crop=None)
 
 
@@ -50,7 +51,8 @@ def _calendar_map(days: DataFrame, pixels: DataFrame, keys: Sequence[str], image
     stacked = days.select(*keys, "stage", "doy", "crop_code").unionByName(blank)
     per_pixel = stacked.groupBy(*keys, "stage").agg(
         F.median(F.nullif(F.col("doy"), F.lit(0))).alias("doy"), F.mode("crop_code", True).alias("crop_code"))
-    snapped = phenology.biweekly_snap(per_pixel)
+    # counted and joined below: stored so that the curves and fits behind it run once
+    snapped = written_table(phenology.biweekly_snap(per_pixel), "calendar-days")
     return phenology.suppress_rare(snapped, [*image, "stage"])
 
 
@@ -59,12 +61,12 @@ def phenology_pixels(observations: DataFrame, class_map: DataFrame, references:
                      threshold: float = 0.50) -> DataFrame:
     """Crop-calendar map per pixel: crop mask, window curves, nearest reference, shape fit, dates, medians.
 
-    Non-crop pixels leave before the composites, so the smoothing and the fit see crop pixels only.
+    Non-crop pixels leave before the windows are expanded, so the smoothing and the fit see crop pixels only.
     """
     keys = list(keys)
     pixels = crop_pixels(class_map, keys)
     crops = pixels.filter(F.col("crop_mask") == 1).select(*keys)
-    curves = smoothed_series(observations.join(crops, keys, "left_semi"), keys, end, n_windows)
+    curves = smoothed_series(observations, keys, end, n_windows, pixels=crops)
     matched = matching.nearest_reference(curves, [*keys, "window_end"], references, threshold,
                                          ["ref_vi", "phen_days", "crop"])
     matched = matched.withColumn("crop_code", labels.crop_code("crop"))
@@ -84,7 +86,7 @@ def phenology_clusters(observations: DataFrame, class_map: DataFrame, clusters:
     pixels = crop_pixels(class_map, keys)
     crops = pixels.filter(F.col("crop_mask") == 1).select(*keys)
     # read three times below (bracket, median, pixel match), so the curves are stored once
-    curves = written_table(smoothed_series(observations.join(crops, keys, "left_semi"), keys, end, n_windows), "curves")
+    curves = written_table(smoothed_series(observations, keys, end, n_windows, pixels=crops), "curves")
     group = [*image, "window_end"]
     labelled = curves.join(clusters, keys)
     medians = phenology.cluster_curve(labelled.select(*group, "cluster_id", "vi"), [*group, "cluster_id"])

@@ -69,9 +69,9 @@ VIEWS = {
                CAST(CAST(l_quantity AS INT) % 7 AS INT) AS predicted, l_discount AS loss
         FROM $lineitem""",
     "reference_points": """
-        SELECT n_nationkey AS ref_id, s.step AS step,
-               0.45 + 0.25 * SIN((s.step - n_nationkey % 13) / 2) + 0.01 * FLOOR(n_nationkey / 13) AS vi
-        FROM $nation CROSS JOIN $steps s""",
+        SELECT n_nationkey AS ref_id, step,
+               0.45 + 0.25 * SIN((step - n_nationkey % 13) / 2) + 0.01 * FLOOR(n_nationkey / 13) AS vi
+        FROM (SELECT n_nationkey, $steps AS step FROM $nation)""",
     "patch_files": """
         SELECT s_suppkey, s_acctbal, concat('t', CAST(s_nationkey AS STRING), '_20231patch_',
                lpad(CAST(s_suppkey AS STRING), 6, '0'), '.nc') AS file_name
@@ -99,7 +99,7 @@ VIEWS = {
         FROM $lineitem""",
 }
 
-_STEPS = {"spark": "(SELECT explode(sequence(0, 12)) AS step)", "sql": "(SELECT UNNEST(RANGE(0, 13)) AS step)"}
+_STEPS = {"spark": "explode(sequence(0, 12))", "sql": "UNNEST(RANGE(0, 13))"}
 
 
 class Tables:
