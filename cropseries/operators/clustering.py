@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -28,7 +27,12 @@ def token_reduce(tokens: DataFrame, model: PCAModel | None = None, k: int = 2, e
 
 def fit_token_clusters(features: DataFrame, k: int, seed: int = 42, column: str = "features",
                        max_iter: int = 20) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="_c").fit(_vectors(features, column))
+    """K-means reads its input once per iteration, so the vectors stay persisted (spilling to disk) while it fits."""
+    vectors = _vectors(features, column).select("_v").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="_c").fit(vectors)
+    finally:
+        vectors.unpersist()
 
 
 def token_clusters(features: DataFrame, k: int, seed: int = 42, column: str = "features",

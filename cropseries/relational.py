@@ -101,7 +101,7 @@ def hash_ranked(df: DataFrame, ids: Sequence[str], seed: int) -> DataFrame:
             .drop("_h", "_b", "_offset"))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str, accuracy: int = 2000) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str, accuracy: int = 10_000) -> DataFrame:
     """Exact median (mean of the middle two) per group for groups of any size.
 
     ``percentile_approx`` brackets the middle, then only values inside the bracket are counted and

@@ -28,10 +28,12 @@ def build_session(master: str | None = None, app: str = "cropseries", **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or in local mode a new folder where it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     fallback = tempfile.mkdtemp(prefix="cropseries-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
