@@ -68,27 +68,31 @@ def block_rectangles(df: DataFrame, ids: Sequence[str], height: int, width: int,
                      n_blocks: int = 4) -> DataFrame:
     """Add ``n_blocks`` seeded rectangles (``_y1_i``, ``_x1_i``, ``_h_i``, ``_w_i``) of each (patch, step).
 
-    Their areas split a drawn share of the image; the aspect ratio lies between 0.3 and 1/0.3. Rectangles under
-    four pixels are NULL.
+    Their areas split a share of the image drawn from 0 to ``max_share``; the aspect ratio lies between 0.3 and 1/0.3.
+    A rectangle takes what is left of the share up to and with its own part, so rounding and rectangles of no size
+    hand their area on to the next; none exceeds what is left. A rectangle without area is NULL.
     """
     blocks = range(n_blocks)
     df = df.withColumn("_budget", unit_hash(seed, *ids) * max_share * height * width)
     df = df.withColumns({f"_u_{i}": unit_hash(seed * 1009 + 500_009 + i, *ids) + 0.1 for i in blocks})
     total = sum((F.col(f"_u_{i}") for i in blocks[1:]), F.col("_u_0"))
-    # a rounded rectangle can exceed its target by half a pixel per side, hence the reserve
-    df = df.withColumns({f"_a_{i}": F.col("_budget") * F.col(f"_u_{i}") / total * 0.6 for i in blocks})
-    shape = {}
+    df = df.withColumns({f"_a_{i}": F.col("_budget") * F.col(f"_u_{i}") / total for i in blocks})
+    spent, due = F.lit(0), F.lit(0.0)
     for i in blocks:
-        area, drawn = F.col(f"_a_{i}"), F.col(f"_a_{i}") >= 4
+        due = due + F.col(f"_a_{i}")
+        left = F.col(f"_l_{i}")
+        df = df.withColumn(f"_l_{i}", due - spent)  # this one's part and what the earlier ones left
         aspect = F.exp((unit_hash(seed * 1009 + i * 3, *ids) * 2 - 1) * math.log(1 / 0.3))
-        shape[f"_h_{i}"] = F.when(drawn, F.least(F.round(F.sqrt(area * aspect)).cast("int"), F.lit(height)))
-        shape[f"_w_{i}"] = F.when(drawn, F.least(F.round(F.sqrt(area / aspect)).cast("int"), F.lit(width)))
-    df = df.withColumns(shape)
+        h = F.least(F.greatest(F.round(F.sqrt(left * aspect)), F.lit(1.0)), F.lit(float(height)), F.floor(left))
+        df = df.withColumn(f"_h_{i}", F.when(left >= 1, h.cast("int")))
+        df = df.withColumn(f"_w_{i}", F.least(F.floor(left / F.col(f"_h_{i}")), F.lit(width)).cast("int"))
+        df = df.withColumn(f"_w_{i}", F.when(F.col(f"_h_{i}").isNotNull(), F.col(f"_w_{i}")))
+        spent = spent + F.coalesce(F.col(f"_h_{i}") * F.col(f"_w_{i}"), F.lit(0))
     corner = {}
     for i in blocks:
         corner[f"_y1_{i}"] = F.floor(unit_hash(seed * 1009 + i * 3 + 1, *ids) * (F.lit(height + 1) - F.col(f"_h_{i}"))).cast("int")
         corner[f"_x1_{i}"] = F.floor(unit_hash(seed * 1009 + i * 3 + 2, *ids) * (F.lit(width + 1) - F.col(f"_w_{i}"))).cast("int")
-    return df.withColumns(corner).drop("_budget", *[f"_{c}_{i}" for i in blocks for c in "ua"])
+    return df.withColumns(corner).drop("_budget", *[f"_{c}_{i}" for i in blocks for c in "ual"])
 
 
 def mask_blocks(df: DataFrame, step_ids: Sequence[str], bands: Sequence[str], height: int, width: int, seed: int,

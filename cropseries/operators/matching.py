@@ -36,17 +36,19 @@ def _best(df: DataFrame, keys: Sequence[str], references: DataFrame, attach: Seq
     """Best reference per row over all blocks; ties go to the lowest reference id.
 
     A library of one block (the usual case, its size is counted) is read once as a scalar, so nothing is joined.
-    A larger one copies each series once per block, keeps the block winner, and reduces the winners with a
-    combining aggregate.
+    A larger one copies each series once per block, keeps the block winner without its block, and reduces the winners
+    with a combining aggregate. Rows that repeat a key are matched each, in either case.
     """
     blocks, n_blocks = _reference_blocks(references, ["vi", *[a for a in attach if a != "ref_vi"]])
     if n_blocks == 1:
         scored = score(df.withColumns({"_block": F.lit(0), "_refs": blocks.select("_refs").scalar()}))
     else:
-        probes = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        scored = score(join_lookup(probes, blocks, ["_block"], max_rows=64))
-        rest = [c for c in scored.columns if c not in keys]
-        scored = scored.groupBy(*keys).agg(
+        # rows that repeat a key stay apart by their number
+        probes = df.withColumn("_row", F.monotonically_increasing_id()) \
+            .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        scored = score(join_lookup(probes, blocks, ["_block"], max_rows=64)).drop("_refs", "_block")
+        rest = [c for c in scored.columns if c not in keys and c != "_row"]
+        scored = scored.groupBy(*keys, "_row").agg(
             F.min_by(F.struct(*rest), F.struct(F.col("_best")["distance"], F.col("_best")["ref_id"])).alias("_w")) \
             .select(*keys, "_w.*")
     extra = [(F.col("_best")["vi"] if a == "ref_vi" else F.col("_best")[a]).alias(a) for a in attach]

@@ -9,17 +9,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 def confusion_matrix(df: DataFrame, n_classes: int, label: str = "label", predicted: str = "predicted",
                      mask: str | None = None) -> DataFrame:
-    """Counts of every (label, predicted) cell, absent cells included; rows where ``mask`` is false are left out."""
+    """Counts of every (label, predicted) cell, absent cells included; rows where ``mask`` is false are left out.
+
+    A label or prediction outside 0 .. n_classes - 1, or a missing one, that the mask lets through fails the job.
+    """
     if mask is not None:
         df = df.filter(F.col(mask))
     spark = df.sparkSession
     ids = F.sequence(F.lit(0), F.lit(n_classes - 1))
     cells = spark.range(1).select(F.explode(ids).alias("label")).select(
         "label", F.explode(ids).alias("predicted"), F.lit(0).cast("bigint").alias("n"))
-    counts = df.groupBy(F.col(label).cast("int").alias("label"), F.col(predicted).cast("int").alias("predicted")).agg(
-        F.count("*").alias("n"))
-    return (counts.filter(F.col("label").between(0, n_classes - 1) & F.col("predicted").between(0, n_classes - 1))
-            .unionByName(cells).groupBy("label", "predicted").agg(F.sum("n").alias("n")))
+    def known(c: str) -> Column:
+        value = F.col(c).cast("int")
+        return (F.when(value.between(0, n_classes - 1), value)
+                .otherwise(F.raise_error(F.concat(F.lit(f"{c} is not one of {n_classes} classes: "), F.coalesce(value.cast("string"), F.lit("NULL")))).cast("int")))
+
+    counts = df.groupBy(known(label).alias("label"), known(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    return counts.unionByName(cells).groupBy("label", "predicted").agg(F.sum("n").alias("n"))
 
 
 def _class_counts(matrix: DataFrame) -> DataFrame:

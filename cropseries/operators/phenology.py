@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import calendar as cal, labels
-from ..relational import exact_median, spread
+from ..relational import exact_median, join_null_safe, spread
 
 STAGE_COLUMNS = ("greenup", "maturity", "senescence", "dormancy")
 
@@ -20,10 +20,6 @@ def modal_class(df: DataFrame, keys: Sequence[str], cls: str = "class") -> DataF
                                  F.mode(labels.is_crop(cls).cast("int"), True).alias("crop_mask"))
 
 
-def modal_value(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.mode(value, True).alias(value))
-
-
 def cluster_curve(df: DataFrame, keys: Sequence[str], method: str = "median", drop_zero_rows: bool = True,
                   vi: str = "vi") -> DataFrame:
     """Median or mean curve per cluster and step; rows with a missing value (and, by default, all-zero rows) left out.
@@ -68,16 +64,15 @@ def biweekly_snap(df: DataFrame, value: str = "doy", interval: int = 14) -> Data
 def suppress_rare(df: DataFrame, image: Sequence[str], value: str = "doy", min_percent: float = 1.0) -> DataFrame:
     """Values held by less than ``min_percent`` of all pixels of an image become NULL; missing pixels count in the total.
 
-    Counts per value are a small table; it is folded to one list of rare values per image before joining back.
+    The counts per image and value are joined to the image totals and back, so an image may hold any number of values;
+    pixels with a NULL image key are an image of their own.
     """
     counts = df.groupBy(*image, value).agg(F.count("*").alias("_n"))
-    per_image = counts.groupBy(*image).agg(F.sum("_n").alias("_total"),
-                                           F.collect_list(F.struct(F.col(value).alias("v"), "_n")).alias("_values"))
-    rare = per_image.select(*image, F.transform(
-        F.filter("_values", lambda s: s["v"].isNotNull() & (s["_n"] * 100.0 / F.col("_total") < min_percent)),
-        lambda s: s["v"]).alias("_rare"))
-    hit = F.array_contains("_rare", F.col(value))
-    return df.join(rare, list(image)).withColumn(value, F.when(~hit, F.col(value))).drop("_rare")
+    totals = counts.groupBy(*image).agg(F.sum("_n").alias("_total"))
+    rare = (join_null_safe(counts, totals, image).filter(F.col(value).isNotNull() & (F.col("_n") * 100.0 / F.col("_total") < min_percent))
+            .select(*image, value, F.lit(True).alias("_rare")))
+    marked = join_null_safe(df, rare, [*image, value], "left")
+    return marked.withColumn(value, F.when(F.col("_rare").isNull(), F.col(value))).drop("_rare")
 
 
 def validate_stages(df: DataFrame, zero_is_missing: bool, max_rise: int = 105, max_fall: int = 105) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..relational import hash_ranked, join_lookup
+from ..relational import hash_ranked, join_null_safe
 
 
 def split_by_tile(df: DataFrame, tile: str = "tile_id", share: float = 0.15, seed: int = 123) -> DataFrame:
@@ -14,7 +14,8 @@ def split_by_tile(df: DataFrame, tile: str = "tile_id", share: float = 0.15, see
     ranked = hash_ranked(df.select(tile).distinct(), [tile], seed)
     held_out = ranked.select(tile, F.when(F.col("rank") <= F.floor(F.col("total") * share), F.lit("validation"))
                              .otherwise(F.lit("training")).alias("split"))
-    return join_lookup(df, held_out, [tile])
+    # the number of tiles is small beside the rows; a NULL tile is one of them
+    return join_null_safe(df, held_out, [tile])
 
 
 def random_split(df: DataFrame, ids: Sequence[str], share: float = 0.15, seed: int = 42) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import calendar as cal
-from ..relational import seeded_hash, spread, with_group_stats
+from ..relational import join_null_safe, seeded_hash, spread, with_group_stats
 
 
 def _date(value: str | dt.date | Column) -> Column:
@@ -62,7 +62,7 @@ def random_window(df: DataFrame, keys: Sequence[str], n_months: int, seed: int,
     latest = F.date_sub("_last", (n_months - 2) * 30 + 1)
     start = F.get(F.filter("_c", lambda c: c["d"] <= latest), F.lit(0))["d"]
     drawn = drawn.select(*keys, start.alias("window_start")).filter(F.col("window_start").isNotNull())
-    return df.join(drawn, list(keys)).filter(
+    return join_null_safe(df, drawn, keys).filter(
         (F.col(date) >= F.col("window_start"))
         & (F.col(date) <= F.date_add("window_start", n_months * 30 + 1)))
 
@@ -75,7 +75,7 @@ def random_month_window(df: DataFrame, keys: Sequence[str], n_months: int, seed:
     high = F.lit(ending_month - n_months) if ending_month is not None else F.col("_hi") - (n_months - 1)
     drawn = span.select(*keys, (low + F.pmod(seeded_hash(seed, *keys), F.greatest(high - low, F.lit(0)) + 1))
                         .cast("int").alias("start_month"))
-    return df.join(drawn, list(keys)).filter(
+    return join_null_safe(df, drawn, keys).filter(
         (F.month(date) >= F.col("start_month")) & (F.month(date) < F.col("start_month") + n_months))
 
 
@@ -86,9 +86,12 @@ def latest_windows(df: DataFrame, k: int, window: str = "window_end") -> DataFra
 
 
 def _dense_slots(sparse: DataFrame, keys: Sequence[str], values: Sequence[str], steps: int) -> DataFrame:
-    """Every key gets all slots: the key's slots fold into one map, which is unrolled against the full range."""
-    by_slot = sparse.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", F.struct(*values)))).alias("_m"))
+    """Every key gets all slots: the key's slots fold into one map, which is unrolled against the full range.
+
+    A NULL slot stands for observations outside all slots; it fills nothing but keeps its key.
+    """
+    entry = F.when(F.col("slot").isNotNull(), F.struct("slot", F.struct(*values)))  # collect_list leaves NULLs out
+    by_slot = sparse.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
     grid = by_slot.select(*keys, "_m", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("slot"))
     found = F.try_element_at("_m", F.col("slot"))
     return grid.select(*keys, "slot", *[found[v].alias(v) for v in values])
@@ -99,12 +102,14 @@ def composite_nanmean(df: DataFrame, keys: Sequence[str], bands: Sequence[str],
     """Backward composite: mean of the valid values per slot counted back from ``end``, empty slots 0.
 
     ``end`` may be a window column that is part of ``keys``. A slot's date is the mean acquisition date,
-    or the slot's own end where it is empty. Dates outside all slots are dropped.
+    or the slot's own end where it is empty. Dates outside all slots count for nothing, but their pixels stay,
+    with empty slots. The first grouping combines on the map side, so neither a pixel with very many observations nor
+    the dates outside load a task; the second moves one row per pixel and slot.
     """
     steps = cal.slot_count(n_months, days)
     end = F.col(end) if isinstance(end, str) and end in df.columns else _date(end)
-    inside = df.withColumn("slot", cal.backward_slot(date, end, steps, days)).filter(F.col("slot").isNotNull())
-    sparse = inside.groupBy(*keys, "slot").agg(
+    placed = df.withColumn("slot", cal.backward_slot(date, end, steps, days))
+    sparse = placed.groupBy(*keys, "slot").agg(
         F.avg(F.unix_date(date)).alias("_day"), *[F.avg(b).alias(b) for b in bands])
     dense = _dense_slots(sparse, keys, ["_day", *bands], steps)
     return dense.select(
@@ -116,10 +121,12 @@ def composite_nanmean(df: DataFrame, keys: Sequence[str], bands: Sequence[str],
 
 def composite_grid(df: DataFrame, keys: Sequence[str], bands: Sequence[str], end: str | Column, steps: int,
                    interval: int = 14, date: str = "obs_date") -> DataFrame:
-    """Harmonised grid: missing values count as zeros in the slot mean; adds the slot's day of year and its /365 channel."""
+    """Harmonised grid: missing values count as zeros in the slot mean; adds the slot's day of year and its /365 channel.
+
+    Pixels whose dates all lie outside the slots stay, with empty slots."""
     end = F.col(end) if isinstance(end, str) and end in df.columns else _date(end)
-    inside = df.withColumn("slot", cal.backward_slot(date, end, steps, interval)).filter(F.col("slot").isNotNull())
-    sparse = inside.groupBy(*keys, "slot").agg(
+    placed = df.withColumn("slot", cal.backward_slot(date, end, steps, interval))
+    sparse = placed.groupBy(*keys, "slot").agg(
         *[F.avg(F.coalesce(F.col(b), F.lit(0.0))).alias(b) for b in bands])
     dense = _dense_slots(sparse, keys, bands, steps)
     slot_doy = cal.doy(cal.slot_end("slot", end, steps, interval))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import labels, spectral
 from ..operators import bands, matching, phenology, series, timegrid
+from ..relational import join_null_safe
 from ..session import written_table
 
 BANDS = ("blue", "red", "nir")
@@ -35,30 +36,44 @@ def smoothed_series(observations: DataFrame, keys: Sequence[str], end, n_windows
     return series.smooth_series(vi_array(windows), crop=None)
 
 
-def _stage_days(fitted: DataFrame, ids: Sequence[str]) -> DataFrame:
-    validated = phenology.validate_phenology(fitted)
-    return phenology.phenology_dates(phenology.stages_long(validated, ids))
+def modal_crop(codes: DataFrame, pixels: DataFrame, keys: Sequence[str], image: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Most frequent crop code of each pixel over the kept windows of its image, and those windows.
+
+    ``codes``: keys, ``window_end``, ``crop_code`` of the matched pixels. A window is kept if any pixel of the image has a
+    code other than 0 in it. A pixel without a match in a kept window counts as 0 there, so the zeros are the windows
+    left over; the smallest code wins ties. Pixels that are no crop have 0.
+    """
+    found = codes.filter(F.col("crop_code") != 0)
+    kept = found.select(*image, "window_end").distinct()
+    n_kept = kept.groupBy(*image).agg(F.count("*").alias("_kept"))
+    votes = found.groupBy(*keys, "crop_code").agg(F.countDistinct("window_end").alias("_n"))
+    best = votes.groupBy(*keys).agg(F.sum("_n").alias("_matched"), F.max(F.struct("_n", (-F.col("crop_code")).alias("c"))).alias("_best"))
+    joined = join_null_safe(join_null_safe(pixels.select(*keys), best, keys, "left"), n_kept, image, "left")
+    zeros = F.coalesce("_kept", F.lit(0)) - F.coalesce("_matched", F.lit(0))
+    code = F.when(F.col("_best._n") > zeros, -F.col("_best.c")).otherwise(0).cast("int")
+    return joined.select(*keys, code.alias("crop_code")), kept
 
 
 def _calendar_map(days: DataFrame, pixels: DataFrame, keys: Sequence[str], image: Sequence[str]) -> DataFrame:
-    """Median day per pixel and stage over the windows, snapped to two weeks, rare days removed.
+    """Median day per pixel and stage over the kept windows, snapped to two weeks, rare days removed; modal crop code.
 
     Every pixel of the image takes part (with no day where nothing was found), so the rare-value share
     is of the whole image.
     """
+    # read for the windows, the crop codes and the medians: stored so that the curves and fits behind it run once
+    days = written_table(days.select(*keys, "window_end", "stage", "doy", "crop_code"), "calendar-stages")
+    crops, kept = modal_crop(days, pixels, keys, image)
     blank = pixels.select(*keys, F.explode(F.array(*[F.lit(s) for s in labels.STAGES])).alias("stage"),
-                          F.lit(None).cast("int").alias("doy"), F.lit(None).cast("int").alias("crop_code"))
-    stacked = days.select(*keys, "stage", "doy", "crop_code").unionByName(blank)
-    per_pixel = stacked.groupBy(*keys, "stage").agg(
-        F.median(F.nullif(F.col("doy"), F.lit(0))).alias("doy"), F.mode("crop_code", True).alias("crop_code"))
-    # counted and joined below: stored so that the curves and fits behind it run once
-    snapped = written_table(phenology.biweekly_snap(per_pixel), "calendar-days")
-    return phenology.suppress_rare(snapped, [*image, "stage"])
+                          F.lit(None).cast("int").alias("doy"))
+    stacked = join_null_safe(days, kept, [*image, "window_end"], "left_semi").select(*keys, "stage", "doy").unionByName(blank)
+    per_pixel = stacked.groupBy(*keys, "stage").agg(F.median(F.nullif(F.col("doy"), F.lit(0))).alias("doy"))
+    snapped = phenology.suppress_rare(phenology.biweekly_snap(per_pixel), [*image, "stage"])
+    return join_null_safe(snapped, crops, keys)
 
 
 def phenology_pixels(observations: DataFrame, class_map: DataFrame, references: DataFrame, end, n_windows: int,
                      keys: Sequence[str] = ("tile_id", "y", "x"), image: Sequence[str] = ("tile_id",),
-                     threshold: float = 0.50) -> DataFrame:
+                     threshold: float = 0.50, zero_is_missing: bool = True) -> DataFrame:
     """Crop-calendar map per pixel: crop mask, window curves, nearest reference, shape fit, dates, medians.
 
     Non-crop pixels leave before the windows are expanded, so the smoothing and the fit see crop pixels only.
@@ -71,16 +86,20 @@ def phenology_pixels(observations: DataFrame, class_map: DataFrame, references:
                                          ["ref_vi", "phen_days", "crop"])
     matched = matched.withColumn("crop_code", labels.crop_code("crop"))
     ids = [*keys, "window_end", "first_date", "crop_code"]
-    days = _stage_days(phenology.fit_stages(matched, ids), ids)
+    validated = phenology.validate_stages(phenology.fit_stages(matched, ids), zero_is_missing)
+    days = phenology.phenology_dates(phenology.stages_long(validated, ids))
     return _calendar_map(days, pixels, keys, image)
 
 
 def phenology_clusters(observations: DataFrame, class_map: DataFrame, clusters: DataFrame, references: DataFrame, end,
                        n_windows: int, keys: Sequence[str] = ("tile_id", "y", "x"), image: Sequence[str] = ("tile_id",),
-                       reference_threshold: float = 0.30, pixel_threshold: float = 0.30) -> DataFrame:
+                       reference_threshold: float = 0.30, pixel_threshold: float = 0.30, drop_zero_rows: bool = True,
+                       zero_is_missing: bool = True) -> DataFrame:
     """As ``phenology_pixels``, but curves are matched and fitted per cluster; pixels take their nearest cluster's dates.
 
     ``clusters``: pixel keys and ``cluster_id``. Cluster curves are few, so the fit runs on a tiny table.
+    ``drop_zero_rows`` leaves all-zero curves out of the medians; ``zero_is_missing`` chooses the plausibility rules
+    (``validate_phenology`` if set, else ``check_phenology``).
     """
     keys, image = list(keys), list(image)
     pixels = crop_pixels(class_map, keys)
@@ -89,14 +108,15 @@ def phenology_clusters(observations: DataFrame, class_map: DataFrame, clusters:
     curves = written_table(smoothed_series(observations, keys, end, n_windows, pixels=crops), "curves")
     group = [*image, "window_end"]
     labelled = curves.join(clusters, keys)
-    medians = phenology.cluster_curve(labelled.select(*group, "cluster_id", "vi"), [*group, "cluster_id"])
+    medians = phenology.cluster_curve(labelled.select(*group, "cluster_id", "vi"), [*group, "cluster_id"],
+                                      drop_zero_rows=drop_zero_rows)
     cluster_vi = phenology.curve_arrays(medians, [*group, "cluster_id"])
     matched = matching.nearest_reference(cluster_vi, [*group, "cluster_id"], references, reference_threshold,
                                          ["ref_vi", "phen_days", "crop"])
     fitted = phenology.fit_stages(matched.withColumn("crop_code", labels.crop_code("crop"))
                                   .withColumn("cluster_vi", F.col("vi")),
                                   [*group, "cluster_id", "cluster_vi", "crop_code"])
-    validated = phenology.validate_phenology(fitted)
+    validated = phenology.validate_stages(fitted, zero_is_missing)
     taken = matching.pixel_cluster_match(curves, validated, group, pixel_threshold)
     ids = [*keys, "window_end", "first_date", "crop_code"]
     days = phenology.phenology_dates(phenology.stages_long(taken, ids))

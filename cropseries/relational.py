@@ -40,12 +40,24 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def join_null_safe(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where NULL equals NULL; the columns of ``df``, then the others of ``side``."""
+    renamed = side.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(renamed[f"_right_{k}"])
+    return df.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def join_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a lookup table: broadcast if its counted size allows, else a salted shuffle join.
 
-    The salt spreads a hot key of ``df`` over ``SALTS`` tasks; the lookup side is copied once per salt.
+    The salt spreads a hot key of ``df`` over ``SALTS`` tasks; the lookup side is copied once per salt, so only kinds
+    of join that emit no unmatched lookup rows are taken.
     """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"join_lookup can't join {how!r}")
     on = list(on)
     if fits_broadcast(lookup, max_rows):
         return df.join(F.broadcast(lookup), on, how)
@@ -55,13 +67,13 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str =
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
-    """Attach per-group aggregates to every row.
+    """Attach per-group aggregates to every row; rows with a NULL key form a group of their own.
 
     An aggregate (combined on the map side) plus an equi-join instead of a window, so that one hot
     group never has to sit in one task: adaptive execution broadcasts the small aggregate when its
     measured size allows it and otherwise splits skewed join partitions.
     """
-    return df.join(df.groupBy(*keys).agg(*aggregates), list(keys))
+    return join_null_safe(df, df.groupBy(*keys).agg(*aggregates), keys)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -105,7 +117,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str, acc
     """Exact median (mean of the middle two) per group for groups of any size.
 
     ``percentile_approx`` brackets the middle, then only values inside the bracket are counted and
-    ranked, so no task holds a whole group's values. Groups with no value give no row.
+    ranked, so no task holds a whole group's values. Groups with no value give no row; NULL keys are a group.
     """
     keys = list(keys)
     values = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
@@ -119,7 +131,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str, acc
     bracket = bracket.select(*keys, "_n",
                              F.when(wide, F.col("_min")).otherwise(F.col("_q")[0]).alias("_lo"),
                              F.when(wide, F.col("_max")).otherwise(F.col("_q")[1]).alias("_hi"))
-    placed = (values.join(bracket, keys).filter(F.col("_v") <= F.col("_hi"))
+    placed = (join_null_safe(values, bracket, keys).filter(F.col("_v") <= F.col("_hi"))
               .groupBy(*keys, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
               .agg(F.count("*").alias("_c")))
     order = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())

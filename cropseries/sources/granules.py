@@ -33,8 +33,8 @@ METADATA_SCHEMA = T.StructType([T.StructField("umm", T.StructType([
 
 
 def granule_search(granules: DataFrame, bbox: tuple[float, float, float, float], start: str, end: str,
-                   products: Sequence[str] = ("HLSS30", "HLSL30"), max_results: int = 2000) -> DataFrame:
-    """Granules overlapping a box in a period, at most ``max_results`` per product in time order."""
+                   products: Sequence[str] = ("HLSS30", "HLSL30"), max_results: int | None = None) -> DataFrame:
+    """Granules overlapping a box in a period; where a caller names ``max_results``, the first ones per product in time order."""
     min_lon, min_lat, max_lon, max_lat = bbox
     found = granules.filter(
         (F.col("min_lon") <= max_lon) & (F.col("max_lon") >= min_lon)
@@ -42,7 +42,7 @@ def granule_search(granules: DataFrame, bbox: tuple[float, float, float, float],
         & F.col("begin_ts").between(F.lit(start).cast("timestamp_ntz"),
                                     F.lit(end).cast("timestamp_ntz"))
         & F.col("product").isin(list(products)))
-    return first_k_per_key(found, ["product"], [F.col("begin_ts"), F.col("granule_id")], max_results)
+    return found if max_results is None else first_k_per_key(found, ["product"], [F.col("begin_ts"), F.col("granule_id")], max_results)
 
 
 def granule_metadata(raw: DataFrame, column: str = "metadata") -> DataFrame:
@@ -95,11 +95,13 @@ def band_links(granules: DataFrame, links: str = "links") -> DataFrame:
             .groupBy("granule_id", "band").agg(F.min_by("link", "position").alias("link")))
 
 
-def missing_bands(links: DataFrame, required: Sequence[str] = REQUIRED_BANDS) -> DataFrame:
-    """Required bands that a granule lacks, one row each."""
-    present = links.groupBy("granule_id").agg(F.collect_set("band").alias("_have"))
+def missing_bands(granules: DataFrame, links: DataFrame, required: Sequence[str] = REQUIRED_BANDS) -> DataFrame:
+    """Required bands that a granule lacks, one row each; a granule without any recognised link lacks them all."""
     wanted = F.array(*[F.lit(b) for b in required])
-    return present.select("granule_id", F.explode(F.array_except(wanted, "_have")).alias("band"))
+    found = links.filter(F.col("band").isin(list(required))).select("granule_id", "band")
+    blank = granules.select("granule_id", F.lit(None).cast("string").alias("band"))
+    have = blank.unionByName(found).groupBy("granule_id").agg(F.collect_set("band").alias("_have"))
+    return have.select("granule_id", F.explode(F.array_except(wanted, "_have")).alias("band"))
 
 
 def complete_granules(links: DataFrame, required: Sequence[str] = REQUIRED_BANDS) -> DataFrame:

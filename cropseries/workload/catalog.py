@@ -41,14 +41,26 @@ def pending_tiles(t):
                                  t.supplier.filter("s_acctbal > 5000").select(tile("s_suppkey")))
 
 
-@query("granule_search", f"""
+def _search(limit):
+    return f"""
     SELECT granule_id, product, {r6('min_lon', 'min_lon')}, {r6('min_lat', 'min_lat')} FROM (
       SELECT *, ROW_NUMBER() OVER (PARTITION BY product ORDER BY begin_ts, granule_id) AS k FROM $granules
       WHERE min_lon <= -85.0 AND max_lon >= -89.0 AND min_lat <= 16.0 AND max_lat >= 13.5
-        AND begin_ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2000-12-31') WHERE k <= 2000""")
+        AND begin_ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2000-12-31') {limit}"""
+
+
+_BOX = ((-89.0, 13.5, -85.0, 16.0), "1996-01-01 00:00:00", "2000-12-31 00:00:00")
+
+
+@query("granule_search", _search(""))
 def granule_search(t):
-    return granules.granule_search(t.granules, (-89.0, 13.5, -85.0, 16.0), "1996-01-01 00:00:00", "2000-12-31 00:00:00") \
-        .select("granule_id", "product", "min_lon", "min_lat")
+    return granules.granule_search(t.granules, *_BOX).select("granule_id", "product", "min_lon", "min_lat")
+
+
+@query("granule_search_first", _search("WHERE k <= 2000"))
+def granule_search_first(t):
+    """The search with the caller's own limit per product."""
+    return granules.granule_search(t.granules, *_BOX, max_results=2000).select("granule_id", "product", "min_lon", "min_lat")
 
 
 @query("granule_metadata", f"""
@@ -94,7 +106,7 @@ def complete_granules(t):
 @query("missing_bands", """
     SELECT CONCAT('G', o_orderkey) AS granule_id, 'nir' AS band FROM orders WHERE o_custkey % 5 = 0""")
 def missing_bands(t):
-    return granules.missing_bands(_links(t))
+    return granules.missing_bands(t.granule_links.select("granule_id").distinct(), _links(t))
 
 
 _BBOX = """(SELECT MIN(min_lon) AS lon0, MIN(min_lat) AS lat0, MAX(max_lon) AS lon1, MAX(max_lat) AS lat1 FROM $granules)"""

@@ -28,7 +28,8 @@ N_MONTHS, STEPS = 84, 180
 SLOTTED = f"""
     slotted AS (SELECT c.*, {STEPS - 1} - CAST(FLOOR((last - obs_date) / 14) AS INT) AS slot, last
                 FROM {CLEAR} c, (SELECT MAX(obs_date) AS last FROM $px_series) WHERE last - obs_date < {STEPS * 14}),
-    grid AS (SELECT pixel_id, last, CAST(UNNEST(RANGE(0, {STEPS})) AS INT) AS slot FROM (SELECT DISTINCT pixel_id, last FROM slotted))"""
+    grid AS (SELECT pixel_id, last, CAST(UNNEST(RANGE(0, {STEPS})) AS INT) AS slot
+             FROM (SELECT DISTINCT pixel_id FROM $px_series), (SELECT MAX(obs_date) AS last FROM $px_series))"""
 
 NANMEAN = f"""{SLOTTED},
     m AS (SELECT pixel_id, slot, AVG(obs_date - DATE '1970-01-01') AS mean_day, AVG(blue) AS blue, AVG(red) AS red, AVG(nir) AS nir
@@ -50,6 +51,18 @@ def composite_nanmean(t):
     return _composite(t)
 
 
+@query("composite_recent", f"""
+    WITH last AS (SELECT MAX(obs_date) AS last FROM $px_raster), grid AS (
+        SELECT tile_id, y, x, last, CAST(UNNEST(RANGE(0, 13)) AS INT) AS slot FROM (SELECT DISTINCT tile_id, y, x FROM $px_raster), last),
+    m AS (SELECT tile_id, y, x, 12 - CAST(FLOOR((last - obs_date) / 14) AS INT) AS slot, AVG(red) AS red, AVG(nir) AS nir
+          FROM $px_raster, last WHERE last - obs_date < 182 GROUP BY 1, 2, 3, 4)
+    SELECT tile_id, y, x, slot, {r6('COALESCE(red, 0)', 'red')}, {r6('COALESCE(nir, 0)', 'nir')} FROM grid LEFT JOIN m USING (tile_id, y, x, slot)""")
+def composite_recent(t):
+    """The last six months of the raster: most pixels have no date there and stay with empty slots."""
+    last = t.px_raster.agg(F.max("obs_date").alias("d")).scalar()
+    return timegrid.composite_nanmean(t.px_raster, ["tile_id", "y", "x"], ["red", "nir"], last, 6).drop("slot_date")
+
+
 @query("evi_curves", f"""WITH {NANMEAN}
     SELECT pixel_id, slot, {day('slot_date', 'slot_date')}, {r6(EVI, 'vi')} FROM composite""")
 def evi_curves(t):

@@ -243,12 +243,14 @@ def pad_dates(t):
     return timegrid.pad_dates(timegrid.daily_mean(t.px_series, ["pixel_id"], ["nir"]), ["pixel_id"], ["nir"], 1000)
 
 
+_EVENT_BANDS = ("click", "error", "purchase", "signup", "view")
+
+
 @query("merge_bands", f"""
-    WITH c AS (SELECT pixel_id, obs_date, MIN(value) AS click FROM $observations WHERE band = 'click' GROUP BY 1, 2),
-         v AS (SELECT pixel_id, obs_date, MIN(value) AS view FROM $observations WHERE band = 'view' GROUP BY 1, 2)
-    SELECT {PX}, {r6('click', 'click')}, {r6('view', 'view')} FROM c FULL JOIN v USING (pixel_id, obs_date)""")
+    SELECT {PX}, {', '.join(r6(f"MIN(CASE WHEN band = '{b}' THEN value END)", b) for b in _EVENT_BANDS)}
+    FROM $observations GROUP BY pixel_id, obs_date""")
 def merge_bands(t):
-    single = {b: t.observations.filter(F.col("band") == b).withColumnRenamed("value", b).drop("band") for b in ("click", "view")}
+    single = {b: t.observations.filter(F.col("band") == b).withColumnRenamed("value", b).drop("band") for b in _EVENT_BANDS}
     return bands.merge_bands(single, ["pixel_id", "obs_date"])
 
 
