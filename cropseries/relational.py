@@ -17,8 +17,12 @@ RANK_BUCKETS = 65_536
 
 
 def seeded_hash(seed: int, *cols: str | Column) -> Column:
-    """Order key that depends on the row's identity and the seed, not on partitioning."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
+    """Order key from 0 to 2^60 - 1 that depends on the row's identity and the seed, not on partitioning.
+
+    The first 15 hex digits of the MD5 of seed and columns as text, so that other engines draw the same numbers.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def unit_hash(seed: int, *cols: str | Column) -> Column:

@@ -8,7 +8,7 @@ from ..operators import raster, timegrid
 from ..operators.quality import dedupe_dates
 from ..session import scratch_path
 from ..sources import catalog, granules, library, rasters
-from .registry import day, query, r6
+from .registry import day, hash_rank, query, r6
 
 
 @query("patch_catalog", r"""
@@ -118,18 +118,21 @@ def _grid(t):
     return catalog.tile_grid(t.spark, box, 0.25)
 
 
-@query("tile_grid", f"""
+_GRID = f"""
     SELECT CAST(r * n_cols + c AS INT) AS cell_id, CAST(r AS INT) AS grid_row, CAST(c AS INT) AS grid_col,
            {r6('lon0 + c * 0.25', 'min_lon')}, {r6('lat0 + r * 0.25', 'min_lat')},
            {r6('lon0 + (c + 1) * 0.25', 'max_lon')}, {r6('lat0 + (r + 1) * 0.25', 'max_lat')}
     FROM (SELECT *, UNNEST(RANGE(0, n_cols)) AS c FROM (SELECT *, UNNEST(RANGE(0, n_rows)) AS r FROM
           (SELECT *, CAST(FLOOR((lon1 - lon0) / 0.25) AS BIGINT) AS n_cols, CAST(FLOOR((lat1 - lat0) / 0.25) AS BIGINT) AS n_rows
-           FROM {_BBOX})))""")
+           FROM {_BBOX})))"""
+
+
+@query("tile_grid", _GRID)
 def tile_grid(t):
     return _grid(t)
 
 
-@query("tile_sample")
+@query("tile_sample", f"SELECT * EXCLUDE k FROM (SELECT *, {hash_rank(42, 'cell_id')} AS k FROM ({_GRID})) WHERE k <= 50")
 def tile_sample(t):
     return catalog.tile_sample(_grid(t), 50, seed=42)
 

@@ -42,3 +42,19 @@ def r6(expression: str, alias: str) -> str:
 
 def day(expression: str, alias: str) -> str:
     return f"CAST(CAST({expression} AS DATE) AS VARCHAR) AS {alias}"
+
+
+def drawn(seed: int | str, *cols: str) -> str:
+    """SQL of ``relational.seeded_hash``."""
+    return f"CAST('0x' || SUBSTR(MD5(CONCAT_WS('|', {', '.join([repr(str(seed)), *cols])})), 1, 15) AS BIGINT)"
+
+
+def drawn_unit(seed: int | str, *cols: str) -> str:
+    """SQL of ``relational.unit_hash``."""
+    return f"(CAST({drawn(seed, *cols)} % {1 << 52} AS DOUBLE) / {float(1 << 52)!r})"
+
+
+def hash_rank(seed: int, *ids: str) -> str:
+    """SQL of the rank of ``relational.hash_ranked``: by bucket, hash and id."""
+    h = drawn(seed, *ids)
+    return f"ROW_NUMBER() OVER (ORDER BY {h} % 65536, {h}, {', '.join(ids)})"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal, labels, spectral
 from ..operators import bands, timegrid
 from ..plans import chain
-from .registry import day, query, r6
+from .registry import day, drawn, query, r6
 
 PX = "pixel_id, " + day("obs_date", "obs_date")
 
@@ -161,12 +161,21 @@ def time_window(t):
     return timegrid.time_window(t.px_series, end="2000-12-31", n_months=36).select("pixel_id", "obs_date", "nir")
 
 
-@query("random_window")
+@query("random_window", f"""
+    WITH d AS (SELECT DISTINCT pixel_id, obs_date FROM $px_series), h AS (SELECT *, {drawn(42, 'pixel_id', 'obs_date')} AS h FROM d),
+         l AS (SELECT pixel_id, MAX(obs_date) AS last FROM d GROUP BY 1),
+         s AS (SELECT pixel_id, ARG_MIN(obs_date, (h, obs_date)) AS window_start FROM h JOIN l USING (pixel_id) WHERE obs_date <= last - 121 GROUP BY 1)
+    SELECT {PX}, {day('window_start', 'window_start')}, {r6('nir', 'nir')} FROM $px_series JOIN s USING (pixel_id)
+    WHERE obs_date BETWEEN window_start AND window_start + 181""")
 def random_window(t):
     return timegrid.random_window(t.px_series, ["pixel_id"], 6, seed=42).select("pixel_id", "obs_date", "window_start", "nir")
 
 
-@query("random_month_window")
+@query("random_month_window", f"""
+    WITH s AS (SELECT pixel_id, MIN(MONTH(obs_date)) AS lo, MAX(MONTH(obs_date)) - 5 AS hi FROM $px_series GROUP BY 1),
+         w AS (SELECT pixel_id, CAST(lo + {drawn(42, 'pixel_id')} % (GREATEST(hi - lo, 0) + 1) AS INT) AS start_month FROM s)
+    SELECT {PX}, start_month, {r6('nir', 'nir')} FROM $px_series JOIN w USING (pixel_id)
+    WHERE MONTH(obs_date) >= start_month AND MONTH(obs_date) < start_month + 6""")
 def random_month_window(t):
     return timegrid.random_month_window(t.px_series, ["pixel_id"], 6, seed=42).select("pixel_id", "obs_date", "start_month", "nir")
 
