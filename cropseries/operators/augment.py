@@ -11,31 +11,44 @@ from pyspark.sql.window import Window
 from ..relational import seeded_hash, unit_hash, with_group_stats
 
 
-def flip(df: DataFrame, code: int, height: int, width: int) -> DataFrame:
-    """0 flips rows, 1 flips columns, -1 both; image and target columns move together."""
-    moves = {}
-    if code <= 0:
-        moves["y"] = F.lit(height - 1) - F.col("y")
-    if code != 0:
-        moves["x"] = F.lit(width - 1) - F.col("x")
-    return df.withColumns(moves)
+def flip(df: DataFrame, code: int | Column, height: int, width: int) -> DataFrame:
+    """0 flips rows, 1 flips columns, -1 both; image and target columns move together.
+
+    ``code`` may be a column, as a seeded draw from the image keys (``draw``); NULL flips nothing.
+    """
+    code = F.lit(code)
+    return df.withColumns({"y": F.when(code <= 0, F.lit(height - 1) - F.col("y")).otherwise(F.col("y")),
+                           "x": F.when(code != 0, F.lit(width - 1) - F.col("x")).otherwise(F.col("x"))})
+
+
+def draw(seed: int, keys: Sequence[str], low: float, high: float) -> Column:
+    """A number from [low, high) per image, the same in every row of it."""
+    return unit_hash(seed, *keys) * (high - low) + low
+
+
+def draw_one(seed: int, keys: Sequence[str], values: Sequence[int | None]) -> Column:
+    """One of the values per image."""
+    return F.element_at(F.array(*[F.lit(v).cast("int") for v in values]), (F.pmod(seeded_hash(seed, *keys), F.lit(len(values))) + 1).cast("int"))
 
 
 def affine_remap(df: DataFrame, keys: Sequence[str], bands: Sequence[str], height: int, width: int,
-                 shift: tuple[int, int] = (0, 0), angle: float = 0.0, zoom: float = 0.0) -> DataFrame:
+                 shift: tuple[int | Column, int | Column] = (0, 0), angle: float | Column = 0.0, zoom: float | Column = 0.0) -> DataFrame:
     """Shift, rotation about (w//2, h//2) and zoom-in with nearest sampling and zero fill.
 
+    Shift, angle and zoom may be columns made from ``keys`` (``draw``): each image then moves by its own draw, all its
+    steps and targets alike if they share those keys.
+
     Output pixel (y, x) reads source floor(v + 0.5) of the inverse map. With the key of the source pixel
     computed per output pixel, remapping is one equi-join.
     """
-    cos, sin = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+    cos, sin = F.cos(F.radians(F.lit(angle))), F.sin(F.radians(F.lit(angle)))
     cx, cy = width // 2, height // 2
     grid = (df.select(*keys).distinct()
             .withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
             .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))))
     # shift (dx, dy) in source coordinates, then rotation, then zoom about the centre
     x, y = F.col("x") + F.lit(shift[0]) - cx, F.col("y") + F.lit(shift[1]) - cy
-    zx, zy = x / (1.0 + zoom), y / (1.0 + zoom)
+    zx, zy = x / (F.lit(1.0) + zoom), y / (F.lit(1.0) + zoom)
     src_x, src_y = zx * cos - zy * sin + cx, zx * sin + zy * cos + cy
     wanted = grid.withColumns({"_sx": F.floor(src_x + 0.5).cast("int"), "_sy": F.floor(src_y + 0.5).cast("int")})
     source = df.select(*keys, F.col("y").alias("_sy"), F.col("x").alias("_sx"), *bands)

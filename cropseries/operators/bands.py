@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import spectral
+from ..relational import with_group_stats
 
 
 def _each(df: DataFrame, bands: Sequence[str], fn) -> DataFrame:
@@ -80,20 +81,30 @@ def _scaled(df: DataFrame, band: str, shift: Column, width: Column, navalue: flo
     return df.withColumn(band, scaled)
 
 
+def _statistics(df: DataFrame, keys: Sequence[str], aggregate: Column) -> tuple[DataFrame, Column]:
+    if not keys:
+        return df, df.agg(aggregate).scalar()
+    return with_group_stats(df, keys, aggregate.alias("_stats")), F.col("_stats")
+
+
 def standard_scale(df: DataFrame, band: str, mean: float | None = None, std: float | None = None,
-                   navalue: float | None = 0) -> DataFrame:
-    """Z-scale with given or derived (population, zeros included) statistics; derived ones are one scalar row."""
-    stats = df.agg(F.struct(F.avg(band).alias("m"), F.stddev_pop(band).alias("s"))).scalar()
+                   navalue: float | None = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """Z-scale with given or derived (population, zeros included) statistics.
+
+    Derived ones are of the whole table (one scalar row), or of each image where ``keys`` name it.
+    """
+    df, stats = _statistics(df, keys, F.struct(F.avg(band).alias("m"), F.stddev_pop(band).alias("s")))
     return _scaled(df, band, F.lit(mean) if mean is not None else stats["m"],
-                   F.lit(std) if std is not None else stats["s"], navalue)
+                   F.lit(std) if std is not None else stats["s"], navalue).drop("_stats")
 
 
 def minmax_scale(df: DataFrame, band: str, low: float | None = None, high: float | None = None,
-                 navalue: float | None = 0) -> DataFrame:
-    stats = df.agg(F.struct(F.min(band).alias("lo"), F.max(band).alias("hi"))).scalar()
+                 navalue: float | None = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """Scale to 0..1 with given or derived bounds, of the whole table or of each image that ``keys`` name."""
+    df, stats = _statistics(df, keys, F.struct(F.min(band).alias("lo"), F.max(band).alias("hi")))
     lo = F.lit(low) if low is not None else stats["lo"]
     hi = F.lit(high) if high is not None else stats["hi"]
-    return _scaled(df, band, lo, hi - lo, navalue)
+    return _scaled(df, band, lo, hi - lo, navalue).drop("_stats")
 
 
 def fill_zero(df: DataFrame, bands: Sequence[str]) -> DataFrame:

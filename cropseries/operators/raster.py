@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..relational import join_lookup, with_group_stats
+from ..relational import join_lookup
 
 BBOX_CELLS_PER_POLYGON = 4096
 
@@ -31,24 +31,23 @@ def complete_grid(df: DataFrame, images: DataFrame, keys: Sequence[str], bands:
     return stacked.groupBy(*keys, "y", "x").agg(*[F.coalesce(F.max(b), F.lit(0)).alias(b) for b in bands])
 
 
-def crop_pad(df: DataFrame, keys: Sequence[str], bands: Sequence[str], size: int, height: int | Column | None = None,
-             width: int | Column | None = None) -> DataFrame:
-    """Centre crop to ``size``; smaller images are zero-padded at the bottom and right."""
+def crop_pad(df: DataFrame, keys: Sequence[str], bands: Sequence[str], size: int, height: int | Column, width: int | Column) -> DataFrame:
+    """Centre crop of images of the given height and width (columns where they differ) to ``size``.
+
+    Smaller images are zero-padded at the bottom and right. The size is not guessed from the pixels present, which
+    would shift images whose last rows or columns are empty.
+    """
     images = df.select(*keys).distinct()
-    if height is None or width is None:
-        df = with_group_stats(df, keys, (F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
-        height, width = F.col("_h"), F.col("_w")
-    else:
-        height, width = F.lit(height), F.lit(width)
+    height, width = F.lit(height), F.lit(width)
     off = lambda n: F.greatest(F.lit(0), F.floor((n - size) / 2)).cast("int")
     moved = df.withColumns({"y": F.col("y") - off(height), "x": F.col("x") - off(width)})
     inside = moved.filter(F.col("y").between(0, size - 1) & F.col("x").between(0, size - 1))
     return complete_grid(inside, images, keys, bands, size, size)
 
 
-def orient_y(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Flip rows of rasters whose y axis ascends."""
-    return with_group_stats(df, keys, F.max("y").alias("_top")).withColumn("y", F.col("_top") - F.col("y")).drop("_top")
+def orient_y(df: DataFrame, height: int | Column) -> DataFrame:
+    """Flip rows of rasters of the given height (a column where it differs) whose y axis ascends."""
+    return df.withColumn("y", (F.lit(height) - 1 - F.col("y")).cast(df.schema["y"].dataType))
 
 
 def clip_bbox(df: DataFrame, x1: float, y1: float, x2: float, y2: float, padding: int = 0,
@@ -64,11 +63,6 @@ def clip_bbox(df: DataFrame, x1: float, y1: float, x2: float, y2: float, padding
     return df.filter((F.col(x) >= x1) & (F.col(x) < x2) & (F.col(y) >= y1) & (F.col(y) < y2))
 
 
-def clip_lonlat(df: DataFrame, bbox: tuple[float, float, float, float], lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Pixels inside a closed lon/lat box."""
-    return df.filter(F.col(lon).between(bbox[0], bbox[2]) & F.col(lat).between(bbox[1], bbox[3]))
-
-
 def _inside(px: Column, py: Column, ring: Column) -> Column:
     """Even-odd ray casting against a closed ring of (x, y) structs."""
     def crossing(inside: Column, i: Column) -> Column:
@@ -170,22 +164,24 @@ def hist_equalize(df: DataFrame, keys: Sequence[str], band: str) -> DataFrame:
 def sobel(df: DataFrame, keys: Sequence[str], band: str) -> DataFrame:
     """Horizontal and vertical 3x3 Sobel responses with zero padding.
 
-    Each pixel sends its weighted value to its neighbours and one grouping adds them up: one shuffle, no join.
+    The kernels are separable. Along x each pixel sends its value to its two neighbours and itself, and one grouping adds
+    up difference and smooth, also where there is no pixel of its own; along y a window over the column combines three
+    rows. Nothing else is shuffled.
     """
-    # 3x3 Sobel kernels (rows y-1, y, y+1; columns x-1, x, x+1), applied as cross-correlation.
-    horizontal = [[1, 0, -1], [2, 0, -2], [1, 0, -1]]
-    vertical = [[1, 2, 1], [0, 0, 0], [-1, -2, -1]]
-    # the source at offset (dy, dx) of a target contributes kernel[dy + 1][dx + 1]
-    moves = [F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx"), F.lit(float(horizontal[dy + 1][dx + 1])).alias("h"),
-                      F.lit(float(vertical[dy + 1][dx + 1])).alias("v"), F.lit(dy == 0 and dx == 0).alias("self"))
-             for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    # Sobel kernels as products of the difference (1, 0, -1) and the smooth (1, 2, 1), as cross-correlation.
+    difference, smooth = {-1: 1.0, 0: 0.0, 1: -1.0}, {-1: 1.0, 0: 2.0, 1: 1.0}
+    # the source at offset d of a target counts with weight d
+    moves = [F.struct(F.lit(-d).alias("dx"), F.lit(difference[d]).alias("d"), F.lit(smooth[d]).alias("s"), F.lit(d == 0).alias("self")) for d in (-1, 0, 1)]
     v = F.coalesce(F.col(band), F.lit(0.0))
-    sent = df.withColumn("_m", F.explode(F.array(*moves))).select(
-        *keys, (F.col("y") + F.col("_m")["dy"]).alias("y"), (F.col("x") + F.col("_m")["dx"]).alias("x"),
-        (v * F.col("_m")["h"]).alias("_h"), (v * F.col("_m")["v"]).alias("_v"), F.col("_m")["self"].alias("_self"))
-    total = sent.groupBy(*keys, "y", "x").agg(F.sum("_h").alias("sobel_x"), F.sum("_v").alias("sobel_y"),
-                                              F.bool_or("_self").alias("_self"))
-    return total.filter("_self").drop("_self")
+    sent = df.select(*keys, "y", "x", v.alias("_v"), F.explode(F.array(*moves)).alias("_m")).select(
+        *keys, "y", (F.col("x") + F.col("_m.dx")).alias("x"), (F.col("_v") * F.col("_m.d")).alias("_d"),
+        (F.col("_v") * F.col("_m.s")).alias("_s"), F.col("_m.self").alias("_self"))
+    rows = sent.groupBy(*keys, "y", "x").agg(F.sum("_d").alias("_d"), F.sum("_s").alias("_s"), F.bool_or("_self").alias("_self"))
+    column = Window.partitionBy(*keys, "x").orderBy("y")
+    at = lambda c, dy: F.coalesce(F.sum(c).over(column.rangeBetween(dy, dy)), F.lit(0.0))
+    both = rows.select(*keys, "y", "x", (at("_d", -1) + F.col("_d") * 2 + at("_d", 1)).alias("sobel_x"),
+                       (at("_s", -1) - at("_s", 1)).alias("sobel_y"), "_self")
+    return both.filter("_self").drop("_self")
 
 
 def start_points(size: int, width: int, overlap: float = 0.0) -> list[int]:

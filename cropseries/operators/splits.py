@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..relational import hash_ranked, join_null_safe
+from ..relational import first_by_hash, hash_ranked, join_null_safe
 
 
 def split_by_tile(df: DataFrame, tile: str = "tile_id", share: float = 0.15, seed: int = 123) -> DataFrame:
@@ -20,13 +20,10 @@ def split_by_tile(df: DataFrame, tile: str = "tile_id", share: float = 0.15, see
 
 def random_split(df: DataFrame, ids: Sequence[str], share: float = 0.15, seed: int = 42) -> DataFrame:
     """max(1, int(n * share)) rows to validation, the rest to training. ``ids`` identify a row."""
-    n_val = F.greatest(F.lit(1), F.floor(F.col("total") * share))
-    ranked = hash_ranked(df, ids, seed)
-    return ranked.withColumn("split", F.when(F.col("rank") <= n_val, F.lit("validation"))
-                             .otherwise(F.lit("training"))).drop("rank", "total")
+    held_out = first_by_hash(df, ids, seed, lambda n: F.greatest(F.lit(1), F.floor(n * share)))
+    return df.withColumn("split", F.when(held_out, F.lit("validation")).otherwise(F.lit("training")))
 
 
 def subset(df: DataFrame, ids: Sequence[str], share: float = 0.15, seed: int = 42) -> DataFrame:
     """Sample of int(n * share) rows without replacement."""
-    ranked = hash_ranked(df, ids, seed)
-    return ranked.filter(F.col("rank") <= F.floor(F.col("total") * share)).drop("rank", "total")
+    return df.filter(first_by_hash(df, ids, seed, lambda n: F.floor(n * share)))

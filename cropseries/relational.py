@@ -117,6 +117,26 @@ def hash_ranked(df: DataFrame, ids: Sequence[str], seed: int) -> DataFrame:
             .drop("_h", "_b", "_offset"))
 
 
+def first_by_hash(df: DataFrame, ids: Sequence[str], seed: int, wanted) -> Column:
+    """Whether a row is among the first ``wanted(total)`` rows in the order of :func:`hash_ranked`.
+
+    The bucket counts tell which bucket the boundary falls into; only that bucket's ids are ranked. The result compares
+    each row with the last one taken (a scalar), so the rows themselves are neither shuffled nor sorted.
+    """
+    keyed = df.select(*ids).withColumn("_h", seeded_hash(seed, *ids)).withColumn("_b", F.pmod("_h", F.lit(RANK_BUCKETS)))
+    counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
+    running = Window.orderBy("_b")  # at most RANK_BUCKETS rows
+    reached = counts.select("_b", "_n", F.sum("_n").over(running).alias("_end"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    wanted_rows = wanted(F.col("_total")).cast("bigint")
+    edge = reached.filter(F.col("_end") >= wanted_rows).agg(F.min_by(F.struct(F.col("_b").alias("b"), (wanted_rows - F.col("_end") + F.col("_n")).alias("k")), "_b").alias("_edge"))
+    place = F.struct("_b", "_h", *ids)
+    inside = keyed.crossJoin(F.broadcast(edge)).filter(F.col("_b") == F.col("_edge.b"))
+    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", *ids)))
+    last = ranked.filter(F.col("_r") <= F.col("_edge.k")).agg(F.max(place)).scalar()
+    hashed = seeded_hash(seed, *ids)
+    return F.coalesce(F.struct(F.pmod(hashed, F.lit(RANK_BUCKETS)).alias("_b"), hashed.alias("_h"), *ids) <= last, F.lit(False))
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str, accuracy: int = 10_000) -> DataFrame:
     """Exact median (mean of the middle two) per group for groups of any size.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import augment, raster
-from .registry import query, r6
+from .registry import drawn, drawn_unit, query, r6
 
 TILE = ["tile_id"]
 GRID = lambda h, w: f"(SELECT tile_id, CAST(y AS INT) AS y, CAST(UNNEST(RANGE(0, {w})) AS INT) AS x FROM (SELECT tile_id, UNNEST(RANGE(0, {h})) AS y FROM (SELECT DISTINCT tile_id FROM $px_image)))"
@@ -21,13 +21,13 @@ def crop_pad(t):
 @query("crop_pad_grow", f"""
     SELECT g.tile_id, g.y, g.x, {r6('COALESCE(p.nir, 0)', 'nir')} FROM {GRID(64, 64)} g LEFT JOIN $px_image p USING (tile_id, y, x)""")
 def crop_pad_grow(t):
-    return raster.crop_pad(t.px_image, TILE, ["nir"], 64)
+    return raster.crop_pad(t.px_image, TILE, ["nir"], 64, 48, 48)
 
 
 @query("orient_y", f"""
-    SELECT tile_id, CAST((SELECT MAX(y) FROM $px_image m WHERE m.tile_id = p.tile_id) - y AS INT) AS y, x, {r6('nir', 'nir')} FROM $px_image p""")
+    SELECT tile_id, CAST(47 - y AS INT) AS y, x, {r6('nir', 'nir')} FROM $px_image""")
 def orient_y(t):
-    return raster.orient_y(t.px_image, TILE).select("tile_id", "y", "x", "nir")
+    return raster.orient_y(t.px_image, 48).select("tile_id", "y", "x", "nir")
 
 
 @query("clip_bbox", f"SELECT tile_id, y, x, {r6('nir', 'nir')} FROM $px_image WHERE x >= 9 AND x < 31 AND y >= 0 AND y < 42")
@@ -152,6 +152,29 @@ def flip(t):
     return augment.flip(t.px_image, -1, 48, 48).select("tile_id", "y", "x", "nir", "label")
 
 
+@query("flip_random", f"""
+    WITH c AS (SELECT *, [0, 1, -1, NULL][{drawn(7, 'tile_id')} % 4 + 1] AS code FROM $px_image)
+    SELECT tile_id, CAST(CASE WHEN code <= 0 THEN 47 - y ELSE y END AS INT) AS y, CAST(CASE WHEN code <> 0 THEN 47 - x ELSE x END AS INT) AS x,
+           {r6('nir', 'nir')}, label FROM c""")
+def flip_random(t):
+    """Each tile is flipped its own way, or not at all."""
+    return augment.flip(t.px_image, augment.draw_one(7, TILE, [0, 1, -1, None]), 48, 48).select("tile_id", "y", "x", "nir", "label")
+
+
+@query("affine_random", f"""
+    WITH d AS (SELECT *, RADIANS({drawn_unit(11, 'tile_id')} * 40 - 20) AS a, {drawn_unit(12, 'tile_id')} * 0.5 AS z,
+                      {drawn(13, 'tile_id')} % 9 - 4 AS dx, {drawn(14, 'tile_id')} % 9 - 4 AS dy FROM {GRID(48, 48)}),
+         m AS (SELECT *, (x + dx - 24) / (1.0 + z) AS u, (y + dy - 24) / (1.0 + z) AS v FROM d),
+         s AS (SELECT tile_id, y, x, CAST(FLOOR(u * COS(a) - v * SIN(a) + 24 + 0.5) AS INT) AS sx, CAST(FLOOR(u * SIN(a) + v * COS(a) + 24 + 0.5) AS INT) AS sy FROM m)
+    SELECT s.tile_id, s.y, s.x, {r6('COALESCE(p.nir, 0)', 'nir')}, COALESCE(p.label, 0) AS label
+    FROM s LEFT JOIN $px_image p ON p.tile_id = s.tile_id AND p.y = s.sy AND p.x = s.sx""")
+def affine_random(t):
+    """Each tile is shifted, turned and zoomed by its own draw, image and label alike."""
+    step = lambda seed: augment.draw_one(seed, TILE, range(-4, 5))
+    return augment.affine_remap(t.px_image, TILE, ["nir", "label"], 48, 48, shift=(step(13), step(14)),
+                                angle=augment.draw(11, TILE, -20, 20), zoom=augment.draw(12, TILE, 0, 0.5))
+
+
 _C, _S = "COS(RADIANS(30))", "SIN(RADIANS(30))"
 
 

@@ -120,6 +120,20 @@ def minmax_scale(t):
     return bands.minmax_scale(t.px_series, "nir").select("pixel_id", "obs_date", "nir")
 
 
+@query("standard_scale_by_image", f"""
+    SELECT {PX}, {r6('CASE WHEN green = 0 THEN 0 ELSE (green - m) / NULLIF(s, 0) END', 'green')}
+    FROM $px_series JOIN (SELECT pixel_id, AVG(green) AS m, STDDEV_POP(green) AS s FROM $px_series GROUP BY 1) USING (pixel_id)""")
+def standard_scale_by_image(t):
+    return bands.standard_scale(t.px_series, "green", keys=["pixel_id"]).select("pixel_id", "obs_date", "green")
+
+
+@query("minmax_scale_by_image", f"""
+    SELECT {PX}, {r6('CASE WHEN nir = 0 THEN 0 ELSE (nir - lo) / NULLIF(hi - lo, 0) END', 'nir')}
+    FROM $px_series JOIN (SELECT pixel_id, MIN(nir) AS lo, MAX(nir) AS hi FROM $px_series GROUP BY 1) USING (pixel_id)""")
+def minmax_scale_by_image(t):
+    return bands.minmax_scale(t.px_series, "nir", keys=["pixel_id"]).select("pixel_id", "obs_date", "nir")
+
+
 @query("doy", f"SELECT {PX}, CAST(DAYOFYEAR(obs_date) AS INT) AS doy FROM $px_series")
 def doy(t):
     return t.px_series.select("pixel_id", "obs_date", cal.doy("obs_date").alias("doy"))

@@ -100,3 +100,24 @@ def test_modal_crop_counts_windows_without_a_match(spark):
     crops, kept = calendar_maps.modal_crop(df, pixels, ["tile", "px"], ["tile"])
     assert {(r.tile, r.px): r.crop_code for r in crops.collect()} == {("t", 1): 0, ("t", 2): 2, ("t", 3): 0, ("t", 4): 1, ("t", 5): 0, ("u", 1): 0}
     assert kept.count() == 8
+
+
+def test_split_doesnt_move_wide_rows(spark):
+    df = spark.range(5000).withColumn("wide", F.lit("x" * 50))
+    out = splits.random_split(df, ["id"], 0.15, seed=5)
+    assert {r.split: r["count"] for r in out.groupBy("split").count().collect()} == {"validation": 750, "training": 4250}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "wide" not in "".join(line for line in plan.split("\n") if "Window" in line or "Aggregate" in line or "Join" in line)
+    ranked = {r.id for r in rel.hash_ranked(df, ["id"], 5).filter("rank <= 750").collect()}
+    assert {r.id for r in out.filter("split = 'validation'").collect()} == ranked
+    assert splits.subset(spark.range(3), ["id"], 0.1).count() == 0 and splits.subset(spark.range(0), ["id"], 0.5).count() == 0
+
+
+def test_statistics_and_draws_per_image(spark):
+    from cropseries.operators import bands
+    df = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 0, 1, 3.0), ("b", 0, 0, 10.0), ("b", 0, 1, 20.0), (None, 0, 0, 5.0)], "tile string, y int, x int, v double")
+    got = {(r.tile, r.x): r.v for r in bands.minmax_scale(df, "v", keys=["tile"]).collect()}
+    assert got == {("a", 0): 0.0, ("a", 1): 1.0, ("b", 0): 0.0, ("b", 1): 1.0, (None, 0): 0.0}
+    many = spark.range(64).select(F.col("id").alias("tile"), F.explode(F.array(F.lit(0), F.lit(1))).alias("x")).withColumn("y", F.lit(0))
+    flipped = augment.flip(many, augment.draw_one(3, ["tile"], [1, None]), 1, 2).withColumn("moved", F.col("x"))
+    assert flipped.groupBy("tile").agg(F.sum("x")).filter("`sum(x)` <> 1").count() == 0

@@ -44,7 +44,6 @@ def test_crop_pad(spark, h, w, size):
     want = np.zeros((size, size))
     part = a[oy:oy + size, ox:ox + size]
     want[:part.shape[0], :part.shape[1]] = part
-    assert np.allclose(array(raster.crop_pad(df, ["tile_id"], ["v"], size), size, size), want)
     assert np.allclose(array(raster.crop_pad(df, ["tile_id"], ["v"], size, h, w), size, size), want)
 
 
