@@ -121,3 +121,22 @@ def test_statistics_and_draws_per_image(spark):
     many = spark.range(64).select(F.col("id").alias("tile"), F.explode(F.array(F.lit(0), F.lit(1))).alias("x")).withColumn("y", F.lit(0))
     flipped = augment.flip(many, augment.draw_one(3, ["tile"], [1, None]), 1, 2).withColumn("moved", F.col("x"))
     assert flipped.groupBy("tile").agg(F.sum("x")).filter("`sum(x)` <> 1").count() == 0
+
+
+def test_clusters_of_each_tile(spark):
+    import numpy as np
+    from cropseries.operators import clustering
+    rng = np.random.default_rng(4)
+    rows = [(i, "ab"[i % 2] if i < 90 else None, [float(v) for v in rng.normal((i % 3) * 4, 1, 2)]) for i in range(95)]
+    df = spark.createDataFrame(rows, "k long, tile string, features array<double>")
+    got = {r.k: r.cluster_id for r in clustering.token_clusters_by_tile(df, ["tile"], ["k"], 3, 2, seed=9).collect()}
+    order = {r.k: r.h for r in df.select("k", rel.seeded_hash(9, "k").alias("h")).collect()}
+    for tile in ("a", "b", None):
+        mine = [(k, np.array(v)) for k, t, v in rows if t == tile]
+        points = np.stack([v for _, v in mine])
+        centres = np.stack([v for _, v in sorted(mine, key=lambda m: (order[m[0]], m[0]))[:3]])
+        for _ in range(20):
+            label = ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            centres = np.stack([points[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(3)])
+        label = ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert [got[k] for k, _ in mine] == label.tolist()
