@@ -14,25 +14,27 @@ of its ids.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .common import order_columns, partitions, text_slices
+from .common import order_columns, partitions, text_slices, texts_of
 
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Ids of a block before it is closed; a block holds whole documents.
 BLOCK_IDS = 1 << 21
-ROUNDS, RULES_PER_ROUND, MIN_COUNT = 6, 2048, 16
-_CELLS = 1 << 20
+ROUNDS, RULES_PER_ROUND, MIN_COUNT = 5, 3072, 16
+_CELL_BITS = 20
 FILE_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.int32()),
                          ("doc_ids", pa.binary()), ("doc_null", pa.binary()), ("doc_tokens", pa.binary()), ("doc_symbols", pa.binary()),
                          ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary())])
@@ -45,88 +47,103 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Normaliser and word pattern of the tokenizers whose words can be encoded one by one.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_encoders: dict[str, WordEncoder] = {}
+
+
+def _plain_letters(word: str) -> bool:
+    """Lower-case letters up to Latin Extended-B, which normalisation leaves alone and the word pattern keeps together."""
+    return word.isalpha() and max(word) < "\u0250" and word == word.lower()
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer whose ids never span white space, encoding each distinct word once.
+    """Encodes texts; with a tokenizer that normalises, drops white space and splits by word pattern, each distinct word once.
 
-    Words are lower-cased (ASCII only; the tokenizer does so itself) and a final ``.`` or ``,`` run after an ASCII letter is
-    looked up on its own, where the tokenizer splits anyway. Words that hold the tokenizer's special strings are encoded as
-    they are. New words are encoded many at a time, joined by a special token that parts them. The memory is dropped when
-    it holds ``limit`` words.
+    Words are parted by white space and lower-cased (ASCII only; the tokenizer does so itself). Punctuation that ends a word
+    after a letter is looked up on its own, where the word pattern splits anyway. Words of plain letters go straight to the
+    tokenizer's model, others through the whole tokenizer, many at a time with a special token between them. Texts that
+    hold ``<|``, which begins the special strings, are encoded whole, as all texts are with any other tokenizer. The memory
+    is dropped when it holds ``limit`` words.
     """
 
     def __init__(self, path: str, limit: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        patterns = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.by_word = kinds == _NORMAL and patterns == [_PATTERN, None]
         self.separator = "<|endoftext|>"
         self.separator_id = self.tokenizer.token_to_id(self.separator)
+        self.by_word &= self.separator_id is not None
+        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): self.bytes_of.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xAA, 0x250)) if c.isalpha()}
         self.limit = limit
-        self.memory: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        for k in range(0, len(new), 4096):
-            part = new[k:k + 4096]
+        self.memory: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def of(path: str) -> WordEncoder:
+        """The worker's encoder, kept from task to task."""
+        if path not in _encoders:
+            _encoders[path] = WordEncoder(path)
+        return _encoders[path]
+
+    def _plain(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        out, slow, tokenize = {}, [], self.tokenizer.model.tokenize
+        for piece in pieces:
+            if _plain_letters(piece):
+                out[piece] = array("I", [t.id for t in tokenize(piece if piece.isascii() else piece.translate(self.letters))]).tobytes()
+            else:
+                slow.append(piece)
+        for k in range(0, len(slow), 4096):
+            part = slow[k:k + 4096]
             ids = np.array(self.tokenizer.encode(self.separator.join(part), add_special_tokens=False).ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.separator_id)
             begins, ends = np.concatenate(([0], cuts + 1)) * 4, np.concatenate((cuts, [len(ids)])) * 4
             raw = ids.tobytes()
-            for word, a, b in zip(part, begins.tolist(), ends.tolist()):
-                self.memory[word] = raw[a:b]
-
-    def _remember(self, words: list[str]) -> None:
-        new: dict[str, None] = {}
-        joined = []
-        for word in words:
-            if word in self.memory:
-                continue
-            core = word.rstrip(".,")
-            if core and core != word and "a" <= core[-1] <= "z":
-                joined.append((word, core, word[len(core):]))
-                for piece in joined[-1][1:]:
-                    if piece not in self.memory:
-                        new[piece] = None
+            for piece, a, b in zip(part, begins.tolist(), ends.tolist()):
+                out[piece] = raw[a:b]
+        return out
+
+    def _learn(self, new: set[bytes]) -> None:
+        memory, alone, joined, missing = self.memory, [], [], set()
+        for word in new:
+            text = word.decode()
+            core = text.rstrip(_PUNCTUATION)
+            if core and core != text and core[-1].isalpha() and core[-1] < "\u0250":
+                joined.append((word, core.encode(), text[len(core):].encode()))
+                missing.update(joined[-1][1:])
             else:
-                new[word] = None
-        self._learn(list(new))
+                missing.add(word)
+        found = self._pieces([m.decode() for m in missing if m not in memory])
+        memory.update((k.encode(), v) for k, v in found.items())
         for word, core, tail in joined:
-            self.memory[word] = self.memory[core] + self.memory[tail]
+            memory[word] = memory[core] + memory[tail]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed with the end id, and the number of ids of each text."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        special = np.asarray(pc.match_substring(texts, "<|"))
-        pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        if len(self.memory) > self.limit:
-            self.memory.clear()
-        coded = pc.dictionary_encode(pieces.flatten())
-        words = coded.dictionary.to_pylist()
-        if special.any():  # a text with a special string is encoded whole; its words are looked up for nothing
-            words = ["" if "<|" in w else w for w in words]
-        self._remember(words)
-        parts = [self.memory[w] for w in words]
-        pool = np.frombuffer(b"".join(parts), dtype="<u4")
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        offsets = np.cumsum(sizes) - sizes
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        word_ends = np.asarray(pieces.value_lengths()).astype(np.int64).cumsum()
-        size = sizes[index]
-        totals = np.concatenate(([0], np.cumsum(size)))
-        n_ids = np.diff(totals[np.concatenate(([0], word_ends))])
-        flat = pool[np.repeat(offsets[index] - totals[:-1], size) + np.arange(totals[-1])]
-        if special.any():
-            cuts = np.split(flat, np.cumsum(n_ids)[:-1])
-            for i in np.flatnonzero(special).tolist():
-                cuts[i] = np.frombuffer(self._plain(texts[i].as_py()), dtype="<u4")
-            n_ids, flat = np.array([len(c) for c in cuts], dtype=np.int64), np.concatenate(cuts)
-        ends = np.cumsum(n_ids + 1) - 1
-        out = np.full(len(flat) + len(n_ids), END, dtype=np.uint32)
-        inside = np.ones(len(out), dtype=bool)
-        inside[ends] = False
-        out[inside] = flat
-        return out, n_ids + 1
+        if not self.by_word:
+            parts = [self._plain(t) for t in texts]
+        else:
+            if len(self.memory) > self.limit:
+                self.memory.clear()
+            split = [None if b"<|" in t else t.lower().split() for t in texts]
+            new: set[bytes] = set()
+            for words in split:
+                if words:
+                    new.update(filterfalse(self.memory.__contains__, words))
+            self._learn(new)
+            parts = [self._plain(t) if words is None else b"".join(map(self.memory.__getitem__, words)) for t, words in zip(texts, split)]
+        end = END.to_bytes(4, "little")
+        ids = np.frombuffer(b"".join([p for part in parts for p in (part, end)]), dtype="<u4")
+        return ids, np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4 + 1
 
 
 @dataclass
@@ -174,14 +191,20 @@ class Grammar:
         return self.expand(symbols[a:b])[start - before:stop - before]
 
 
-def _frequent_pairs(pairs: np.ndarray, limit: int, least: int) -> np.ndarray:
-    """The at most ``limit`` most frequent of the coded pairs that occur ``least`` times, most frequent first."""
-    cells = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    heavy = np.bincount(cells, minlength=_CELLS) >= least  # a cell counts no less than any of its pairs
+def _cells(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - _CELL_BITS)
+
+
+def _frequent_pairs(pairs: np.ndarray, cells: np.ndarray, limit: int, least: int) -> np.ndarray:
+    """The at most ``limit`` most frequent of the coded pairs that occur ``least`` times, most frequent first.
+
+    Of pairs that share a cell of the counting table only the first is taken; the other may follow in the next round."""
+    heavy = np.bincount(cells, minlength=1 << _CELL_BITS) >= least  # a cell counts no less than any of its pairs
     values, counts = np.unique(pairs[heavy[cells]], return_counts=True)
-    values, counts = values[counts >= least], counts[counts >= least]
-    order = np.lexsort((values, -counts))[:limit]
-    return values[order]
+    good = (counts >= least) & (values >> np.uint32(16) != END) & (values & np.uint32(0xFFFF) != END)
+    values, counts = values[good], counts[good]
+    values = values[np.lexsort((values, -counts))]
+    return values[np.sort(np.unique(_cells(values), return_index=True)[1])[:limit]]
 
 
 def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, least: int = MIN_COUNT) -> tuple[np.ndarray, Grammar]:
@@ -190,41 +213,37 @@ def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = RU
     Replacing many pairs in a round keeps the number of passes small; where marked pairs overlap, every second one of the
     run is replaced. Pairs with the end id stay apart. Symbols stay below 65,536.
     """
-    seq, rules, lengths = ids.astype(np.uint16), [], []
+    seq, rules = ids.astype(np.uint16), []
     size_of = np.ones(1 << 16, dtype=np.uint32)
     for _ in range(rounds):
-        room = min(per_round, (1 << 16) - base - len(rules))
+        first, room = base + len(rules), min(per_round, (1 << 16) - base - len(rules))
         if room <= 0 or len(seq) < 2:
             break
         pairs = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        open_ = (seq[:-1] != END) & (seq[1:] != END)
-        chosen = _frequent_pairs(pairs[open_].astype(np.uint64), room, least).astype(np.uint32)
+        cells = _cells(pairs)
+        chosen = _frequent_pairs(pairs, cells, room, least)
         if not len(chosen):
             break
-        order = np.argsort(chosen)
-        keys = chosen[order]
-        maybe = np.zeros(1 << 16, dtype=bool)  # few left symbols lead a chosen pair
-        maybe[(keys >> np.uint32(16))] = True
-        at = np.flatnonzero(maybe[seq[:-1]] & open_)
-        place = np.minimum(np.searchsorted(keys, pairs[at]), len(keys) - 1)
-        hit = keys[place] == pairs[at]
+        slot = np.full(1 << _CELL_BITS, -1, dtype=np.int32)
+        slot[_cells(chosen)] = np.arange(len(chosen))
+        place = slot[cells]
+        at = np.flatnonzero(place >= 0)
+        place = place[at]
+        hit = chosen[place] == pairs[at]
         at, place = at[hit], place[hit]
         # runs of overlapping marks: keep the first, third, ...
         fresh = np.concatenate(([True], np.diff(at) > 1))
         run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         keep = (np.arange(len(at)) - run_start) % 2 == 0
         at, place = at[keep], place[keep]
-        new = np.empty(len(keys), dtype=np.int64)
-        new[:] = base + len(rules) + order
         a, b = (chosen >> np.uint32(16)).astype(np.int64), (chosen & np.uint32(0xFFFF)).astype(np.int64)
-        size_of[base + len(rules):base + len(rules) + len(chosen)] = size_of[a] + size_of[b]
+        size_of[first:first + len(chosen)] = size_of[a] + size_of[b]
         rules += list(zip(a.tolist(), b.tolist()))
-        seq[at] = new[place].astype(np.uint16)
-        gone = np.ones(len(seq), dtype=bool)
-        gone[at + 1] = False
-        seq = seq[gone]
-    lengths = size_of[base:base + len(rules)].copy()
-    return seq, Grammar(base, np.array(rules, dtype=np.uint16).reshape(-1, 2), lengths)
+        seq[at] = (first + place).astype(np.uint16)
+        stays = np.ones(len(seq), dtype=bool)
+        stays[at + 1] = False
+        seq = seq[stays]
+    return seq, Grammar(base, np.array(rules, dtype=np.uint16).reshape(-1, 2), size_of[base:base + len(rules)].copy())
 
 
 def _block_row(shard: int, block: int, base: int, docs: list, ids: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
@@ -251,14 +270,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         encoder, block, shard = None, 0, 0
         docs_, ids, counts, held = [], [], [], 0
         for batch in batches:
-            for part in text_slices(batch, "text", 8 << 20):
+            for part in text_slices(batch, "text"):
                 if encoder is None:
                     from pyspark import TaskContext
-                    shard, encoder = TaskContext.get().partitionId(), WordEncoder(tokenizer)
+                    shard, encoder = TaskContext.get().partitionId(), WordEncoder.of(tokenizer)
                     base = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
                     if base > (1 << 16) - 256:
                         raise ValueError("the file's symbols have 16 bits, too few for this vocabulary and rules")
-                flat, n = encoder.encode(part.column(1))
+                flat, n = encoder.encode(texts_of(part))
                 docs_ += part.column(0).to_pylist()
                 ids.append(flat)
                 counts.append(n)
