@@ -44,9 +44,3 @@ def crop_code(word: str | Column) -> Column:
 def argmax_class(scores: str | Column) -> Column:
     """0-based index of the largest score, the first one on ties."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
-
-
-def stage_name(position: str | Column) -> Column:
-    """Stage at a 0-based position."""
-    position = F.col(position) if isinstance(position, str) else position
-    return F.element_at(F.array(*[F.lit(s) for s in STAGES]), position + 1)

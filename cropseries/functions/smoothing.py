@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 CELLS = 4_000_000
@@ -73,8 +74,19 @@ def envelope_matrix(values: np.ndarray, first: np.ndarray, second: np.ndarray, i
 
 
 def _by_length(smooth: Callable[..., np.ndarray], *lists: pa.Array) -> pa.Array:
-    """Apply a matrix function to list arrays whose rows may have different lengths; NaN out means NULL."""
+    """Apply a matrix function to list arrays whose rows may have different lengths; NaN out means NULL.
+
+    A NULL list gives NULL; lists of one row that differ in length are an error.
+    """
     lists = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in lists]
+    missing = np.zeros(len(lists[0]), dtype=bool)
+    for c in lists:
+        missing |= np.asarray(c.is_null())
+    if missing.any():  # flattened values of all lists must stand at the same places
+        lists = [pc.if_else(pa.array(missing), pa.scalar([], c.type), c) for c in lists]
+    for c in lists[1:]:
+        if not c.value_lengths().equals(lists[0].value_lengths()):
+            raise ValueError("lists of one row differ in length")
     sizes = np.asarray(lists[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     flat = [c.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) for c in lists]
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -85,7 +97,8 @@ def _by_length(smooth: Callable[..., np.ndarray], *lists: pa.Array) -> pa.Array:
         for part in (rows[i:i + step] for i in range(0, len(rows), step)):
             at = starts[part][:, None] + np.arange(n)
             out[at] = smooth(*[f[at] for f in flat])
-    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(out, from_pandas=True))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(out, from_pandas=True),
+                                    mask=pa.array(missing) if missing.any() else None)
 
 
 def kernel_regression(days: str | Column, values: str | Column, bandwidth: float = 0.03) -> Column:

@@ -14,11 +14,6 @@ def _with_share(df: DataFrame, scene: Sequence[str], band: str, alias: str) -> D
     return with_group_stats(df, scene, F.avg(F.col(band).isNotNull().cast("double")).alias(alias))
 
 
-def scene_coverage(df: DataFrame, scene: Sequence[str], band: str) -> DataFrame:
-    """Share of non-missing pixels per scene."""
-    return df.groupBy(*scene).agg(F.avg(F.col(band).isNotNull().cast("double")).alias("coverage"))
-
-
 def coverage_filter(df: DataFrame, scene: Sequence[str], band: str, min_percent: float) -> DataFrame:
     """Keep scenes with strictly more than ``min_percent`` of the band present."""
     return _with_share(df, scene, band, "_share").filter(F.col("_share") * 100 > min_percent).drop("_share")

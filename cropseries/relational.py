@@ -140,21 +140,26 @@ def first_by_hash(df: DataFrame, ids: Sequence[str], seed: int, wanted) -> Colum
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str, accuracy: int = 10_000) -> DataFrame:
     """Exact median (mean of the middle two) per group for groups of any size.
 
-    ``percentile_approx`` brackets the middle, then only values inside the bracket are counted and
-    ranked, so no task holds a whole group's values. Groups with no value give no row; NULL keys are a group.
+    One combining aggregate of sketches reads all values. A sketch of fewer values than half its accuracy holds them all,
+    so its middle is exact: the lower one from the values, the upper one from their negatives. For larger groups the
+    sketch brackets the middle, and in a second reading only their values inside the bracket are counted and ranked, so
+    no task holds a whole group's values. Groups with no value give no row; NULL keys are a group.
     """
     keys = list(keys)
     values = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     slack = 2.0 / accuracy
-    bracket = values.groupBy(*keys).agg(
+    summary = values.groupBy(*keys).agg(
         F.count("*").alias("_n"),
-        F.percentile_approx("_v", [0.5 - slack, 0.5 + slack], accuracy).alias("_q"),
+        F.percentile_approx("_v", [0.5, 0.5 - slack, 0.5 + slack], accuracy).alias("_q"),
+        (-F.percentile_approx(-F.col("_v"), 0.5, accuracy)).alias("_upper"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    # small groups keep their full range, where the bracket could fall between the middle two
+    whole = F.col("_n") * 2 < accuracy
+    small = summary.filter(whole).select(*keys, ((F.col("_q")[0] + F.col("_upper")) / 2).alias(alias))
+    # up to the accuracy the full range is kept, where the bracket could fall between the middle two
     wide = F.col("_n") <= accuracy
-    bracket = bracket.select(*keys, "_n",
-                             F.when(wide, F.col("_min")).otherwise(F.col("_q")[0]).alias("_lo"),
-                             F.when(wide, F.col("_max")).otherwise(F.col("_q")[1]).alias("_hi"))
+    bracket = summary.filter(~whole).select(*keys, "_n",
+                                            F.when(wide, F.col("_min")).otherwise(F.col("_q")[1]).alias("_lo"),
+                                            F.when(wide, F.col("_max")).otherwise(F.col("_q")[2]).alias("_hi"))
     placed = (join_null_safe(values, bracket, keys).filter(F.col("_v") <= F.col("_hi"))
               .groupBy(*keys, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
               .agg(F.count("*").alias("_c")))
@@ -162,4 +167,4 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str, acc
     ranked = placed.withColumn("_end", F.sum("_c").over(order))
     lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
     hit = lambda k: F.max(F.when((F.col("_end") >= k) & (F.col("_end") - F.col("_c") < k), F.col("_v")))
-    return ranked.groupBy(*keys).agg(((hit(lower) + hit(upper)) / 2).alias(alias))
+    return small.unionByName(ranked.groupBy(*keys).agg(((hit(lower) + hit(upper)) / 2).alias(alias)))

@@ -14,14 +14,6 @@ BAND_ASSETS = {
     "HLSL30": {"blue": "B02", "green": "B03", "red": "B04", "nir": "B05", "swir1": "B06", "fmask": "Fmask"},
 }
 
-# Full asset-to-channel tables per sensor.
-CHANNELS = {
-    "L30": {"B02": "blue", "B03": "green", "B04": "red", "B05": "nir", "B06": "swir01", "B07": "swir02",
-            "B09": "cirrus", "Fmask": "Fmask"},
-    "S30": {"B02": "blue", "B03": "green", "B04": "red", "B05": "edge1", "B06": "edge2", "B07": "edge3",
-            "B08": "nirbroad", "B8A": "nir", "B11": "swir01", "B12": "swir02", "B10": "cirrus", "Fmask": "Fmask"},
-}
-
 REQUIRED_BANDS = ("blue", "green", "red", "nir", "swir1", "fmask")
 
 METADATA_SCHEMA = T.StructType([T.StructField("umm", T.StructType([

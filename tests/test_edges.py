@@ -140,3 +140,13 @@ def test_clusters_of_each_tile(spark):
             centres = np.stack([points[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(3)])
         label = ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
         assert [got[k] for k, _ in mine] == label.tolist()
+
+
+def test_smoothing_of_missing_and_unequal_lists(spark):
+    from cropseries.functions import smoothing
+    rows = [([0.0, 14.0, 28.0, 42.0], [0.1, 0.2, 0.3, 0.4]), (None, [0.1]), ([0.0], None), ([], [])]
+    df = spark.createDataFrame(rows, "d array<double>, v array<double>")
+    got = [r.s for r in df.select(smoothing.kernel_regression("d", "v").alias("s")).collect()]
+    assert len(got[0]) == 4 and got[1] is None and got[2] is None and got[3] == []
+    with pytest.raises(Exception, match="differ in length"):
+        spark.createDataFrame([([0.0, 1.0], [0.1])], df.schema).select(smoothing.kernel_regression("d", "v")).collect()
