@@ -7,11 +7,14 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.window import Window
 
 from ..functions import curves
 from ..relational import join_lookup
 
 BLOCK = 512
+#: References that are broadcast at once, and cells of the warping tables worked on at once.
+LIBRARY, DTW_CELLS = 4096, 1 << 21
 
 
 def _reference_blocks(references: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, int]:
@@ -86,10 +89,43 @@ def _dtw(series: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return cost[..., n, m]
 
 
+def _closest_by_dtw(series: Sequence[np.ndarray], refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position and distance of each series' closest reference, in chunks whose cost table stays under ``DTW_CELLS``."""
+    position, distance = np.zeros(len(series), dtype=np.int32), np.full(len(series), np.inf)
+    if not len(refs) or not len(series):
+        return position, distance
+    chunk = max(1, DTW_CELLS // (len(refs) * (len(series[0]) + 1) * (refs.shape[1] + 1)))
+    for start in range(0, len(series), chunk):
+        d = _dtw(np.stack(series[start:start + chunk]).astype(float), refs)
+        position[start:start + chunk], distance[start:start + chunk] = d.argmin(axis=1), d.min(axis=1)
+    return position, distance
+
+
 def nearest_reference_dtw(df: DataFrame, keys: Sequence[str], references: DataFrame, threshold: float = 0.50,
-                          attach: Sequence[str] = (), vi: str = "vi", chunk: int = 256) -> DataFrame:
-    """As ``nearest_reference`` with dynamic time warping; Arrow batches against the joined reference block."""
+                          attach: Sequence[str] = (), vi: str = "vi") -> DataFrame:
+    """As ``nearest_reference`` with dynamic time warping, in Arrow batches.
+
+    The library is counted first; of up to ``LIBRARY`` references the curves are broadcast once and only the series go
+    through Arrow. A larger library meets the series block by block; ties go to the lowest reference id either way.
+    """
     result = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("distance", T.DoubleType())])
+    carried = [a for a in attach if a != "ref_vi"]
+    if references.count() <= LIBRARY:
+        numbered = references.select(F.col("ref_id"), F.col("vi").alias("_ref_vi"), *[F.col(a).alias(f"_a_{a}") for a in carried if a != "ref_id"],
+                                     (F.row_number().over(Window.orderBy("ref_id")) - 1).alias("_position"))  # at most LIBRARY rows
+        listed = [r["_ref_vi"] for r in numbered.orderBy("_position").select("_ref_vi").collect()]
+        shared = df.sparkSession.sparkContext.broadcast(np.array(listed, dtype=float).reshape(len(listed), -1))
+
+        def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for series in batches:
+                position, distance = _closest_by_dtw(series.to_list(), shared.value)
+                yield pd.DataFrame({"position": position, "distance": distance})
+
+        hit = F.pandas_udf(nearest, result).asNondeterministic()(F.col(vi))
+        found = df.filter(_usable(vi)).withColumn("_hit", hit).select(*df.columns, _within(F.col("_hit"), lambda h: h["distance"] <= threshold))
+        joined = found.withColumn("_position", F.col("_best")["position"]).join(F.broadcast(numbered), "_position")
+        extra = [(F.col("_ref_vi") if a == "ref_vi" else F.col(f"_a_{a}")).alias(a) for a in attach if a != "ref_id"]
+        return joined.select(*df.columns, "ref_id", F.col("_best")["distance"].alias("distance"), *extra)
 
     def closest(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for series, block, ref_curves in batches:
@@ -97,24 +133,20 @@ def nearest_reference_dtw(df: DataFrame, keys: Sequence[str], references: DataFr
             for b in block.unique():
                 rows = np.flatnonzero((block == b).to_numpy())
                 refs = np.stack([np.asarray(r, dtype=float) for r in ref_curves.iloc[rows[0]]])
-                for start in range(0, len(rows), chunk):
-                    part = rows[start:start + chunk]
-                    d = _dtw(np.stack(series.iloc[part].to_numpy()).astype(float), refs)
-                    position[part], distance[part] = d.argmin(axis=1), d.min(axis=1)
+                position[rows], distance[rows] = _closest_by_dtw(series.iloc[rows].to_list(), refs)
             yield pd.DataFrame({"position": position, "distance": distance})
 
     closest = F.pandas_udf(closest, result).asNondeterministic()
-    carried = [a for a in attach if a != "ref_vi"]
 
     def score(joined: DataFrame) -> DataFrame:
         curves_only = F.transform("_refs", lambda r: r["vi"])
         hit = joined.withColumn("_hit", closest(F.col(vi), F.col("_block"), curves_only))
         ref = F.get("_refs", F.col("_hit")["position"])
-        return hit.withColumn("_best", F.struct(
-            F.col("_hit")["distance"].alias("distance"), ref["ref_id"].alias("ref_id"), ref["vi"].alias("vi"),
-            *[ref[a].alias(a) for a in carried])).drop("_hit")
+        best = F.struct(F.col("_hit")["distance"].alias("distance"), ref["ref_id"].alias("ref_id"), ref["vi"].alias("vi"),
+                        *[ref[a].alias(a) for a in carried])
+        return hit.select(*joined.columns, _within(best, lambda b: b["distance"] <= threshold))
 
-    return _best(df.filter(_usable(vi)), keys, references, attach, score).filter(F.col("distance") <= threshold)
+    return _best(df.filter(_usable(vi)), keys, references, attach, score)
 
 
 def pixel_cluster_match(pixels: DataFrame, clusters: DataFrame, group: Sequence[str], threshold: float = 0.30,

@@ -77,23 +77,34 @@ def clip_polygon(df: DataFrame, polygons: DataFrame, cell: float, x: str = "x",
                  buffer: float = 0.0) -> DataFrame:
     """Pixels whose centre lies in a polygon (``polygon_id``, closed ``ring``) given in the same coordinates.
 
-    A polygon is copied to the grid cells its bounding box touches, so pixels find candidates by an
-    equi-join on the cell; ray casting then decides. One row per pixel and polygon it lies in.
+    A polygon is copied to the grid cells its bounding box touches, so pixels find candidates by an equi-join on the
+    cell. Cells that no edge comes near lie wholly inside or outside, which their centre tells once per polygon: the outer
+    ones go, pixels of inner ones need no further test, and only pixels of edge cells are ray-cast, against a ring that
+    only edge cells carry. The cells are broadcast if their rows and bytes allow. One row per pixel and polygon it lies in.
     """
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     cell_of = lambda v: F.floor(v / F.lit(cell)).cast("bigint")
     boxed = polygons.select("polygon_id", "ring", (F.array_min(xs) - buffer).alias("_x1"), (F.array_max(xs) + buffer).alias("_x2"),
                             (F.array_min(ys) - buffer).alias("_y1"), (F.array_max(ys) + buffer).alias("_y2"))
+    over = lambda low, high: F.explode(F.sequence(cell_of(low - buffer), cell_of(high + buffer)))
+    edges = (polygons.select("polygon_id", "ring", F.explode(F.sequence(F.lit(0), F.size("ring") - 2)).alias("_i"))
+             .select("polygon_id", F.get("ring", F.col("_i")).alias("_a"), F.get("ring", F.col("_i") + 1).alias("_b"))
+             .select("polygon_id", *[f(F.col(f"_a.{c}"), F.col(f"_b.{c}")).cast("double").alias(f"_{n}{c}") for c in "xy" for n, f in (("lo", F.least), ("hi", F.greatest))])
+             .withColumn("_cx", over(F.col("_lox"), F.col("_hix"))).withColumn("_cy", over(F.col("_loy"), F.col("_hiy")))
+             .select("polygon_id", "_cx", "_cy", F.lit(True).alias("_edge")).distinct())
     cells = (boxed.withColumn("_cx", F.explode(F.sequence(cell_of(F.col("_x1")), cell_of(F.col("_x2")))))
-             .withColumn("_cy", F.explode(F.sequence(cell_of(F.col("_y1")), cell_of(F.col("_y2"))))))
+             .withColumn("_cy", F.explode(F.sequence(cell_of(F.col("_y1")), cell_of(F.col("_y2")))))
+             .join(edges, ["polygon_id", "_cx", "_cy"], "left"))
+    middle = _inside((F.col("_cx") + 0.5) * cell, (F.col("_cy") + 0.5) * cell, F.col("ring"))
+    cells = cells.filter(F.when(F.col("_edge"), True).otherwise(middle)).withColumn("ring", F.when(F.col("_edge"), F.col("ring")))
     keyed = df.withColumns({"_cx": cell_of(F.col(x)), "_cy": cell_of(F.col(y))})
-    joined = join_lookup(keyed, cells, ["_cx", "_cy"], max_rows=BBOX_CELLS_PER_POLYGON)
+    joined = join_lookup(keyed, cells, ["_cx", "_cy"], max_rows=BBOX_CELLS_PER_POLYGON, row_bytes=F.coalesce(F.size("ring"), F.lit(0)) * 32 + 64)
     near = F.col(x).between(F.col("_x1"), F.col("_x2")) & F.col(y).between(F.col("_y1"), F.col("_y2"))
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     hit = _inside(px, py, F.col("ring"))
     for dx, dy in ((buffer, 0), (-buffer, 0), (0, buffer), (0, -buffer)) if buffer else ():
         hit = hit | _inside(px + dx, py + dy, F.col("ring"))
-    return joined.filter(near & hit).select(*df.columns, "polygon_id")
+    return joined.filter(F.when(F.col("ring").isNull(), True).otherwise(near & hit)).select(*df.columns, "polygon_id")
 
 
 def border_na(df: DataFrame, bands: Sequence[str], percent: float, height: int, width: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
 RANK_BUCKETS = 65_536
 
@@ -39,9 +40,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Counts at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, row_bytes: Column | None = None) -> bool:
+    """Counts at most ``max_rows + 1`` rows and, where ``row_bytes`` estimates a row's size, adds up their bytes."""
+    size = F.lit(0) if row_bytes is None else F.coalesce(F.sum(row_bytes), F.lit(0))
+    head = df.limit(max_rows + 1)
+    rows, total = head.agg(F.count("*"), size).first()
+    return rows <= max_rows and total <= BROADCAST_BYTES
 
 
 def join_null_safe(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -54,8 +58,8 @@ def join_null_safe(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str
 
 
 def join_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
-                max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a lookup table: broadcast if its counted size allows, else a salted shuffle join.
+                max_rows: int = BROADCAST_ROWS, row_bytes: Column | None = None) -> DataFrame:
+    """Join a lookup table: broadcast if its counted rows (and ``row_bytes``) allow, else a salted shuffle join.
 
     The salt spreads a hot key of ``df`` over ``SALTS`` tasks; the lookup side is copied once per salt, so only kinds
     of join that emit no unmatched lookup rows are taken.
@@ -63,7 +67,7 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str =
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join_lookup can't join {how!r}")
     on = list(on)
-    if fits_broadcast(lookup, max_rows):
+    if fits_broadcast(lookup, max_rows, row_bytes):
         return df.join(F.broadcast(lookup), on, how)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))

@@ -66,7 +66,8 @@ def test_masked_share_reaches_what_is_drawn(spark):
 
 
 @pytest.mark.parametrize("match", [matching.nearest_reference, matching.nearest_reference_dtw])
-def test_repeated_keys_and_library_size(spark, match):
+def test_repeated_keys_and_library_size(spark, match, monkeypatch):
+    monkeypatch.setattr(matching, "LIBRARY", 100)
     series = [(1, [0.1, 0.2, 0.3]), (1, [0.3, 0.2, 0.1]), (2, [0.5, 0.5, 0.5])]
     refs = lambda n: spark.createDataFrame([(i, [0.1 + i * 1e-4, 0.2, 0.3], f"c{i}") for i in range(n)], "ref_id int, vi array<double>, crop string")
     df = spark.createDataFrame(series, "px int, vi array<double>")
