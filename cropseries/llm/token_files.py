@@ -20,7 +20,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -59,14 +58,25 @@ def _plain_letters(word: str) -> bool:
     return word.isalpha() and max(word) < "\u0250" and word == word.lower()
 
 
+class _Memory(dict):
+    """Words and their ids; a word looked up for the first time is encoded."""
+
+    def __init__(self, encoder: WordEncoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = ids = self.encoder.word(word.decode())
+        return ids
+
+
 class WordEncoder:
     """Encodes texts; with a tokenizer that normalises, drops white space and splits by word pattern, each distinct word once.
 
     Words are parted by white space and lower-cased (ASCII only; the tokenizer does so itself). Punctuation that ends a word
     after a letter is looked up on its own, where the word pattern splits anyway. Words of plain letters go straight to the
-    tokenizer's model, others through the whole tokenizer, many at a time with a special token between them. Texts that
-    hold ``<|``, which begins the special strings, are encoded whole, as all texts are with any other tokenizer. The memory
-    is dropped when it holds ``limit`` words.
+    tokenizer's model, others through the whole tokenizer. Texts that hold ``<|``, which begins the special strings, are
+    encoded whole, as all texts are with any other tokenizer. The memory is dropped when it holds ``limit`` words.
     """
 
     def __init__(self, path: str, limit: int = 1 << 20):
@@ -77,13 +87,10 @@ class WordEncoder:
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         patterns = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_word = kinds == _NORMAL and patterns == [_PATTERN, None]
-        self.separator = "<|endoftext|>"
-        self.separator_id = self.tokenizer.token_to_id(self.separator)
-        self.by_word &= self.separator_id is not None
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): self.bytes_of.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xAA, 0x250)) if c.isalpha()}
         self.limit = limit
-        self.memory: dict[bytes, bytes] = {}
+        self.memory = _Memory(self)
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -95,52 +102,21 @@ class WordEncoder:
     def _plain(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        out, slow, tokenize = {}, [], self.tokenizer.model.tokenize
-        for piece in pieces:
-            if _plain_letters(piece):
-                out[piece] = array("I", [t.id for t in tokenize(piece if piece.isascii() else piece.translate(self.letters))]).tobytes()
-            else:
-                slow.append(piece)
-        for k in range(0, len(slow), 4096):
-            part = slow[k:k + 4096]
-            ids = np.array(self.tokenizer.encode(self.separator.join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.separator_id)
-            begins, ends = np.concatenate(([0], cuts + 1)) * 4, np.concatenate((cuts, [len(ids)])) * 4
-            raw = ids.tobytes()
-            for piece, a, b in zip(part, begins.tolist(), ends.tolist()):
-                out[piece] = raw[a:b]
-        return out
-
-    def _learn(self, new: set[bytes]) -> None:
-        memory, alone, joined, missing = self.memory, [], [], set()
-        for word in new:
-            text = word.decode()
-            core = text.rstrip(_PUNCTUATION)
-            if core and core != text and core[-1].isalpha() and core[-1] < "\u0250":
-                joined.append((word, core.encode(), text[len(core):].encode()))
-                missing.update(joined[-1][1:])
-            else:
-                missing.add(word)
-        found = self._pieces([m.decode() for m in missing if m not in memory])
-        memory.update((k.encode(), v) for k, v in found.items())
-        for word, core, tail in joined:
-            memory[word] = memory[core] + memory[tail]
+    def word(self, text: str) -> bytes:
+        """Ids of a lower-cased word without white space."""
+        core = text.rstrip(_PUNCTUATION)
+        if core and core != text and core[-1].isalpha() and core[-1] < "\u0250":
+            return self.memory[core.encode()] + self.memory[text[len(core):].encode()]
+        if _plain_letters(text):
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(text if text.isascii() else text.translate(self.letters))]).tobytes()
+        return self._plain(text.encode())
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed with the end id, and the number of ids of each text."""
-        if not self.by_word:
-            parts = [self._plain(t) for t in texts]
-        else:
-            if len(self.memory) > self.limit:
-                self.memory.clear()
-            split = [None if b"<|" in t else t.lower().split() for t in texts]
-            new: set[bytes] = set()
-            for words in split:
-                if words:
-                    new.update(filterfalse(self.memory.__contains__, words))
-            self._learn(new)
-            parts = [self._plain(t) if words is None else b"".join(map(self.memory.__getitem__, words)) for t, words in zip(texts, split)]
+        if len(self.memory) > self.limit:
+            self.memory.clear()
+        known = self.memory.__getitem__
+        parts = [b"".join(map(known, t.lower().split())) if self.by_word and b"<|" not in t else self._plain(t) for t in texts]
         end = END.to_bytes(4, "little")
         ids = np.frombuffer(b"".join([p for part in parts for p in (part, end)]), dtype="<u4")
         return ids, np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4 + 1

@@ -9,12 +9,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh
+from ..session import written_table
 
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "suffix_rate"]
 MAX_RULES = 1000
+#: Partitions of the training table.
+TRAIN_PARTS = 8
 
 
 def _after_scheme(url: Column) -> Column:
@@ -83,8 +85,10 @@ def train_and_judge(known: DataFrame, unknown: DataFrame, key: str, train_rows:
     with_rate = lambda df: df.join(suffixes, "suffix", "left").fillna(prior, ["suffix_rate"])
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     chosen = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)) < int(min(1.0, train_rows / n) * (1 << 40))
-    # one order of rows, so that the learner sees the same partitions each time
-    training = assembler.transform(with_rate(known.filter(chosen))).select("features", blocked.alias("label"))
+    # a bounded table, in one order and in few files: the learner sees the same partitions each time, and its many jobs are small
+    rows = with_rate(known.filter(chosen)).select(*FEATURES, blocked.alias("label"))
+    rows = rows.repartition(TRAIN_PARTS, *FEATURES).sortWithinPartitions(*FEATURES, "label").coalesce(TRAIN_PARTS)
+    training = assembler.transform(written_table(rows, "url-training"))
     trees = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.3, maxBins=64).fit(training)
     judged = trees.transform(assembler.transform(with_rate(unknown)))
     return judged.withColumn("guess", F.when(F.col("prediction") > 0.5, "block").otherwise("allow"))
