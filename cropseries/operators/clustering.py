@@ -66,21 +66,21 @@ def token_clusters_by_tile(features: DataFrame, tile: Sequence[str], ids: Sequen
     numbered = starts.withColumn("cluster_id", F.row_number().over(Window.partitionBy(*tile).orderBy(*order)) - 1)  # k rows a tile
 
     def packed(centres: DataFrame) -> DataFrame:
-        return centres.groupBy(*tile).agg(F.sort_array(F.collect_list(F.struct("cluster_id", F.col("_p").alias("c")))).alias("_centres"))
+        return centres.groupBy(*tile).agg(F.sort_array(F.collect_list(F.struct("cluster_id", F.col("_p").alias("c")))).alias("_centres"),
+                                          F.bool_or("_moved").alias("_moved"))
 
     def assigned(centres: DataFrame) -> DataFrame:
         distance = lambda c: F.aggregate(F.zip_with("_p", c["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
         best = F.array_min(F.transform("_centres", lambda c: F.struct(distance(c).alias("d"), c["cluster_id"].alias("cluster_id"))))
-        return join_null_safe(points, centres, tile).withColumn("cluster_id", best["cluster_id"])
+        return join_null_safe(points, centres.drop("_moved"), tile).withColumn("cluster_id", best["cluster_id"])
 
-    current = written_table(packed(numbered.select(*tile, "cluster_id", "_p")), "centres")
+    current = written_table(packed(numbered.select(*tile, "cluster_id", "_p", F.lit(True).alias("_moved"))), "centres")
     for _ in range(max_iter):
         means = assigned(current).groupBy(*tile, "cluster_id").agg(F.array(*[F.avg(F.col("_p")[i]) for i in range(size)]).alias("_p"))
         old = current.select(*tile, F.inline(F.transform("_centres", lambda c: F.struct(c["cluster_id"].alias("cluster_id"), c["c"].alias("_old")))))
-        merged = join_null_safe(old, means, [*tile, "cluster_id"], "left").select(*tile, "cluster_id", F.coalesce("_p", "_old").alias("_p"))
-        updated = written_table(packed(merged), "centres")
-        moved = not join_null_safe(updated, current.withColumnRenamed("_centres", "_before"), tile).filter(F.col("_centres") != F.col("_before")).isEmpty()
-        current = updated
-        if not moved:
+        merged = join_null_safe(old, means, [*tile, "cluster_id"], "left").select(
+            *tile, "cluster_id", F.coalesce("_p", "_old").alias("_p"), F.coalesce(F.col("_p") != F.col("_old"), F.lit(False)).alias("_moved"))
+        current = written_table(packed(merged), "centres")
+        if current.filter("_moved").isEmpty():
             break
     return assigned(current).drop("_p", "_centres")
