@@ -17,6 +17,8 @@ def best_windows(docs, items, least=0.75):
             if not size or not w:
                 continue
             want = Counter(shingles(target))
+            if size >= 5 and not want.keys() & set(shingles(text)):
+                continue
             best = 0.0
             for first in range(max(len(w) - size, 0) + 1):
                 part = " ".join(w[first:first + size])
@@ -44,7 +46,7 @@ def corpus(seed):
             parts.insert(1, " \n".join(w).title())
         docs.append((i, " ".join(parts)))
     return docs + [(500, items[0][1]), (501, None), (502, ""), (503, "Only  three WORDS"), (504, "with only three words here"), (505, "go " * 12),
-                   (None, items[1][1]), (506, ("z " * 40_000) + items[2][1] + (" z" * 40_000))], items
+                   (None, items[1][1]), (506, ("z " * 200) + items[2][1] + (" z" * 200))], items
 
 
 @pytest.mark.parametrize("seed", [3, 4])
@@ -71,6 +73,13 @@ def test_clean_documents_stay_with_their_columns(documents, spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(d or -1 for d, _ in docs if d not in dirty)
 
 
+def test_long_text(documents, spark):
+    bench = spark.createDataFrame([(7, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    text = "z " * 40_000 + "One two three four five six seven\neight nine ten" + " z" * 40_000
+    got = find_contamination(documents([(506, text), (507, "z " * 80_000)]), bench).collect()
+    assert [(r.doc_id, r.item_id, r.similarity, r.first_word, r.hamming) for r in got] == [(506, 7, 1.0, 40_000, 0)]
+
+
 def test_empty_tables(documents, spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     docs = documents([(1, "a b c d e")])
