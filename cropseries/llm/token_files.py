@@ -79,7 +79,7 @@ class WordEncoder:
     encoded whole, as all texts are with any other tokenizer. The memory is dropped when it holds ``limit`` words.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
