@@ -187,7 +187,7 @@ def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = RU
     """Re-Pair: in each round the most frequent pairs become new symbols and are replaced from left to right.
 
     Replacing many pairs in a round keeps the number of passes small; where marked pairs overlap, every second one of the
-    run is replaced. Pairs with the end id stay apart. Symbols stay below 65,536.
+    run is replaced. Pairs with the end id stay apart, also where it is a token of a text. Symbols stay below 65,536.
     """
     seq, rules = ids.astype(np.uint16), []
     size_of = np.ones(1 << 16, dtype=np.uint32)
@@ -225,7 +225,8 @@ def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = RU
 def _block_row(shard: int, block: int, base: int, docs: list, ids: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
     flat, n_ids = np.concatenate(ids), np.concatenate(counts)
     symbols, grammar = repair(flat, base)
-    ends = np.flatnonzero(symbols == END)
+    # symbols of each document by what they expand to: the end id may also be an ordinary token of a text
+    ends = np.searchsorted(np.cumsum(grammar.sizes(symbols)), np.cumsum(n_ids))
     row = {"shard": shard, "block": block, "n_docs": len(docs), "n_tokens": len(flat), "base": base,
            "doc_ids": np.array([d or 0 for d in docs], "<i8").tobytes(), "doc_null": np.array([d is None for d in docs], np.uint8).tobytes(),
            "doc_tokens": n_ids.astype("<u4").tobytes(), "doc_symbols": np.diff(np.concatenate(([-1], ends))).astype("<u4").tobytes(),

@@ -62,3 +62,17 @@ def test_nothing_to_replace():
 def test_empty_table(documents, spark, tmp_path):
     write_token_files(documents([]), str(tmp_path / "t"))
     assert read_token_files(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_random_access_where_a_text_holds_the_end_id(documents, spark, tokenizer, tmp_path):
+    data = [(1, "plain words"), (2, '"$5 and "$6'), (3, None), (4, '"'), (5, 'the same ' * 200 + '"$5'), (6, "after it"), (7, '"$5')]
+    assert 1 in tokenizer.encode('"$5', add_special_tokens=False).ids
+    write_token_files(documents(data).coalesce(1), str(tmp_path / "t"))
+    seen = {}
+    for row in spark.read.schema(FILE_DDL).parquet(str(tmp_path / "t")).collect():
+        row = row.asDict()
+        assert np.frombuffer(row["doc_symbols"], "<u4").sum() == len(row["symbols"]) // 2
+        for k, doc in enumerate(decode_block(row)[0]):
+            seen[doc] = read_tokens(row, k).tolist()
+            assert read_tokens(row, k, 1, 3).tolist() == seen[doc][1:3]
+    assert seen == {d: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for d, t in data}
