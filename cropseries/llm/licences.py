@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,6 +19,8 @@ TEMPLATES = {
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Full licence texts and longer notices, by file name; read on the driver.
+TEXTS = Path(__file__).with_name("licence_texts")
 DICE = 0.75
 MAX_TEMPLATES = 10_000
 
@@ -34,28 +38,157 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.when(n > 1, pairs).when(n == 1, words).otherwise(F.array().cast("array<string>")))
 
 
+def bigrams_of(text: Column) -> Column:
+    """Bigrams of a text; the lambda binds its words, so that they are extracted once and not for each pair."""
+    return F.get(F.transform(F.array(normal_words(text)), bigrams), 0)
+
+
 def dice_bounds(size: Column, threshold: float) -> tuple[Column, Column]:
     """Fewest and most bigrams that a set may have to reach the threshold with one of ``size`` bigrams."""
     return F.ceil(size * threshold / (2 - threshold) - 1e-9), F.floor(size * (2 - threshold) / threshold + 1e-9)
 
 
-def scan_licences(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = DICE, id_col: str = "doc_id",
+def full_texts() -> dict[str, list[str]]:
+    """The texts of ``TEXTS`` by SPDX name; the Creative Commons licences have none there."""
+    found: dict[str, list[str]] = {}
+    for file in sorted(TEXTS.glob("*.txt")):
+        found.setdefault(file.name.removesuffix(".txt").removesuffix(".notice"), []).append(file.read_text())
+    return found
+
+
+def _strings(values: Sequence[str]) -> Column:
+    """A literal array of words or bigrams, which hold no line feed."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def _least_shared(size: int, threshold: float) -> int:
+    """Fewest bigrams that any set shares with one of ``size`` bigrams at the threshold: where it lies within the other."""
+    return math.ceil(size * threshold / (2 - threshold) - 1e-9)
+
+
+def _rare_grams(grams: Sequence[str], threshold: float) -> tuple[list[str], int]:
+    """The longest bigrams of a template, some more than a text that reaches the threshold may lack, and how many of them it holds."""
+    allowed = len(grams) - _least_shared(len(grams), threshold)
+    taken = sorted(grams, key=lambda g: (-len(g), g))[:allowed + 1 + len(grams) // 10]
+    return taken, len(taken) - allowed
+
+
+def _windows(rows: DataFrame, known: Sequence[tuple[str, list[str]]], threshold: float) -> DataFrame:
+    """Statements within longer units or across lines: (_id, line_no, licence, dice) of the windows of ``scan_licences``."""
+    known = [(name, grams) for name, grams in known if " " in grams[0]]
+    if not known:
+        return rows.filter("false").select("_id", F.lit(0).alias("line_no"), F.lit("").alias("licence"), F.lit(0.0).alias("dice"))
+    # which texts may hold a window: a lambda binds its value, and a generator keeps it from being computed twice
+    rare = [_rare_grams(grams, threshold) for _, grams in known]
+    joined = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i.cast("int")), F.element_at(w, (i + 1).cast("int"))))
+    shared = lambda w: F.when(F.size(w) > 1, F.array_intersect(joined(w), _strings(sorted({g for taken, _ in rare for g in taken}))))
+
+    def possible(held: Column) -> Column:
+        some = F.lit(False)
+        for taken, least in rare:
+            some = some | ((F.size(held) >= least) & (F.size(F.array_intersect(held, _strings(taken))) >= least))
+        return some
+    probe = F.transform(F.transform(F.array(normal_words(F.col("_text"))), shared), possible)
+    shortest = min(_least_shared(len(grams), threshold) for _, grams in known)
+    rows = rows.filter(F.length("_text") >= 2 * shortest + 1).select("_id", "_text", F.explode(probe).alias("_some")).filter("_some")
+    words_of = lambda line, i: F.transform(normal_words(line), lambda w: F.struct(w.alias("w"), (i + 1).alias("line")))
+    rows = rows.withColumn("_lines", F.split("_text", "\n")).withColumn("_w", F.flatten(F.transform("_lines", words_of)))
+    word = lambda i: F.element_at("_w", i.cast("int"))
+    rows = rows.withColumn("_pairs", F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.struct(
+        F.concat_ws(" ", word(i)["w"], word(i + 1)["w"]).alias("p"), word(i)["line"].alias("a"), word(i + 1)["line"].alias("b"))))
+    rows = rows.withColumn("_set", F.array_distinct(F.col("_pairs.p")))
+    every = sorted({g for _, grams in known for g in grams})
+    rows = rows.withColumn("_known", F.array_intersect("_set", _strings(every)))
+
+    per_licence = {}
+    for name, grams in known:
+        per_licence.setdefault(name, []).append(grams)
+    candidates = []
+    for name, several in per_licence.items():
+        states, templates = F.lit(False), []
+        for grams in several:
+            t, need, shared = len(grams), _least_shared(len(grams), threshold), F.size(F.array_intersect("_known", _strings(grams)))
+            # a text that states the licence as a whole (line_no 0, or its one line) is found already
+            states = states | (2 * shared / (F.size("_set") + t) >= threshold)
+            templates.append(F.when(shared >= need, F.struct(_strings(grams).alias("g"), F.lit(t).alias("t"), F.lit(need).alias("need"),
+                                                             F.lit(math.floor(t * (2 - threshold) / threshold + 1e-9)).alias("most"))))
+        templates = F.filter(F.array(*templates), lambda x: x.isNotNull())
+        candidates.append(F.when(~states & (F.size(templates) > 0), F.struct(F.lit(name).alias("licence"), templates.alias("templates"))))
+    rows = rows.select("_id", "_lines", "_pairs", F.explode(F.filter(F.array(*candidates), lambda c: c.isNotNull())).alias("_c"))
+
+    # position of each pair's last occurrence before it: in a window only the first occurrence counts
+    ordered = F.array_sort(F.transform("_pairs", lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"))))
+    rows = rows.withColumn("_o", ordered)
+    earlier = lambda x, k: F.when((k > 0) & (F.get("_o", k - 1)["p"] == x["p"]), F.get("_o", k - 1)["i"]).otherwise(-1)
+    rows = rows.withColumn("_before", F.array_sort(F.transform("_o", lambda x, k: F.struct(x["i"].alias("i"), earlier(x, k).alias("before"))))).drop("_o")
+    # of each template: which pairs it holds; windows start and end with such a pair
+    marked = lambda t: F.struct(t.dropFields("g").alias("t"), F.transform("_pairs", lambda x, i: F.struct(
+        i.alias("i"), F.get("_before", i)["before"].alias("before"), F.array_contains(t["g"], x["p"]).alias("hit"))).alias("marks"))
+    rows = rows.withColumn("_m", F.transform("_c.templates", marked))
+    rows = rows.withColumn("_m", F.transform("_m", lambda m: m.withField("hits", F.filter(m["marks"], lambda x: x["hit"])["i"])))
+
+    def best_from(m: Column, start: Column) -> Column:
+        """The best of the windows that begin at ``start``."""
+        def step(acc: Column, x: Column) -> Column:
+            new = x["before"] < start
+            n = acc["n"] + new.cast("int")
+            c = acc["c"] + (new & x["hit"]).cast("int")
+            dice = 2 * c / (n + m["t"]["t"])
+            better = x["hit"] & (dice > acc["dice"])
+            return F.struct(n.alias("n"), c.alias("c"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"), F.when(better, x["i"]).otherwise(acc["stop"]).alias("stop"))
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("c"), F.lit(0.0).alias("dice"), start.alias("stop"))
+        return F.aggregate(F.slice(m["marks"], start + 1, m["t"]["most"]), zero, step,
+                           lambda acc: F.struct(start.alias("start"), acc["stop"].alias("stop"), acc["dice"].alias("dice")))
+
+    def found_in(m: Column) -> Column:
+        enough = F.filter(m["hits"], lambda start, h: F.get(m["hits"], h + m["t"]["need"] - 1) - start < m["t"]["most"])
+        return F.filter(F.transform(enough, lambda start: best_from(m, start)), lambda w: w["dice"] >= threshold)
+
+    rows = rows.withColumn("_found", F.array_sort(F.flatten(F.transform("_m", found_in)))).drop("_m", "_before")
+    # lines that state the licence as they are
+    states_one = lambda held: F.exists("_c.templates", lambda t: 2 * F.size(F.array_intersect(held, t["g"])) / (F.size(held) + t["t"]) >= threshold)
+    stated = lambda line: F.get(F.transform(F.array(bigrams_of(line)), states_one), 0)
+    rows = rows.withColumn("_stated", F.filter(F.transform("_lines", lambda line, i: F.when(stated(line), i + 1)), lambda i: i.isNotNull()))
+    first_line = lambda w: F.get("_pairs", w["start"])["a"]
+    last_line = lambda w: F.get("_pairs", w["stop"])["b"]
+    rows = rows.withColumn("_found", F.filter("_found", lambda w: ~F.exists("_stated", lambda i: i.between(first_line(w), last_line(w)))))
+
+    # from left to right: of the windows that overlap the first one, the best; then on behind it
+    none = F.lit(None).cast("struct<start:int,stop:int,dice:double>")
+    def choose(acc: Column, w: Column) -> Column:
+        opens = acc["best"].isNull() | ((w["start"] > acc["anchor"]) & (w["start"] > acc["best"]["stop"]))
+        better = ~opens & (w["start"] <= acc["anchor"]) & (w["dice"] > acc["best"]["dice"])
+        return F.struct(F.when(opens & acc["best"].isNotNull(), F.concat(acc["out"], F.array(acc["best"]))).otherwise(acc["out"]).alias("out"),
+                        F.when(opens, w["stop"]).otherwise(acc["anchor"]).alias("anchor"), F.when(opens | better, w).otherwise(acc["best"]).alias("best"))
+    begin = F.struct(F.array().cast("array<struct<start:int,stop:int,dice:double>>").alias("out"), F.lit(-1).alias("anchor"), none.alias("best"))
+    chosen = F.aggregate("_found", begin, choose, lambda acc: F.when(acc["best"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["best"]))))
+    rows = rows.select("_id", "_pairs", "_c.licence", F.explode(chosen).alias("_h"))
+    return rows.select("_id", F.get("_pairs", F.col("_h.start"))["a"].alias("line_no"), "licence", F.col("_h.dice").alias("dice"))
+
+
+def scan_licences(docs: DataFrame, templates: Mapping[str, str] | None = None, threshold: float = DICE, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """One row per unit of text and licence it states: id, line_no, licence, dice.
 
-    The units are the lines of each text (line_no from 1) and, where it has several lines, the whole text (line_no 0). Both sides are
-    normalised to words; a template is a candidate only if the sizes of the bigram sets allow the threshold. Cheap word
+    The units are the lines of each text (line_no from 1) and, where it has several lines, the whole text (line_no 0). Besides,
+    windows of each text: runs of words within a line or across lines, of as many word pairs as the threshold allows, which begin
+    and end with a pair of the template. A window's line_no is the line it begins in. Windows are left out where a line that they
+    touch, or the whole text, states the licence already; of windows that overlap, the better goes. A template of one
+    word has no windows. Without ``templates``, those of ``TEMPLATES`` and the full licence texts are taken.
+
+    Both sides are normalised to words; a template is a candidate only if the sizes of the bigram sets allow the threshold. Cheap word
     counts go first, so bigrams are made only of units that some template may fit. The templates are an argument of at
     most ``MAX_TEMPLATES`` entries, held in the plan; nothing is shuffled.
 
     Null and empty texts state nothing. A unit may state several licences. Null ids and repeated rows are scanned as they
     are; an empty table gives no rows.
     """
-    if len(templates) > MAX_TEMPLATES:
+    known_as = list(templates.items()) if templates is not None else [*TEMPLATES.items(), *((k, t) for k, many in full_texts().items() for t in many)]
+    if len(known_as) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     spark = docs.sparkSession
-    listed = spark.createDataFrame(sorted(templates.items()), "licence string, template string")
-    known = [(r["licence"], r["b"]) for r in listed.select("licence", bigrams(normal_words(F.col("template"))).alias("b")).collect() if r["b"]]
+    listed = spark.createDataFrame(sorted(known_as), "licence string, template string")
+    known = [(r["licence"], r["b"]) for r in listed.select("licence", bigrams_of(F.col("template")).alias("b")).collect() if r["b"]]
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     lines = F.split(F.col("_text"), "\n")
     numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("unit")))
@@ -72,7 +205,11 @@ def scan_licences(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thr
     tests = []
     for name, grams in known:
         least, most = dice_bounds(F.lit(len(grams)), threshold)
-        dice = 2 * F.size(F.array_intersect("b", F.array(*[F.lit(g) for g in grams]))) / (F.col("n") + len(grams))
+        dice = 2 * F.size(F.array_intersect("b", _strings(grams))) / (F.col("n") + len(grams))
         tests.append(F.when(F.col("n").between(least, most) & (dice >= threshold), F.struct(F.lit(name).alias("licence"), dice.alias("dice"))))
-    found = sets.select("_id", "line_no", F.explode(F.filter(F.array(*tests), lambda t: t.isNotNull())).alias("hit"))
-    return found.select(F.col("_id").alias(id_col), "line_no", F.col("hit.licence").alias("licence"), F.col("hit.dice").alias("dice"))
+    hits = F.filter(F.array(*tests), lambda t: t.isNotNull())
+    # several templates of a licence: the best
+    best = F.filter(hits, lambda t, i: ~F.exists(F.transform(hits, lambda o, k: (o["licence"] == t["licence"]) & ((o["dice"] > t["dice"]) | ((o["dice"] == t["dice"]) & (k < i)))), lambda x: x))
+    found = sets.select("_id", "line_no", F.explode(best).alias("hit"))
+    units = found.select("_id", "line_no", F.col("hit.licence").alias("licence"), F.col("hit.dice").alias("dice"))
+    return units.unionByName(_windows(rows, known, threshold)).select(F.col("_id").alias(id_col), "line_no", "licence", "dice")

@@ -1,6 +1,6 @@
 import re
 
-from cropseries.llm.licences import TEMPLATES, scan_licences
+from cropseries.llm.licences import TEMPLATES, full_texts, scan_licences
 from helpers import LOWER
 
 
@@ -46,3 +46,16 @@ def test_empty(documents):
 def test_no_python_in_the_plan(documents):
     plan = scan_licences(documents(ROWS, clash=False))._jdf.queryExecution().executedPlan().toString()
     assert not any(node in plan for node in ("Python", "Arrow", "Pandas"))
+
+
+def test_statements_within_lines_wrapped_and_in_full(documents):
+    fill = " ".join(f"word{i}" for i in range(300))
+    mit, apache = full_texts()["MIT"][0], TEMPLATES["Apache-2.0"]
+    rows = [(1, f"{fill} text. {apache} All rights reserved by the authors {fill}"),
+            (2, f"{fill}\nThis work is licensed under the\nGNU General Public License, version 3.\n{fill}"),
+            (3, f"{fill}\nCopyright someone\n\n{mit}\n{fill} {fill} {fill} {fill}"), (4, mit), (5, f"{fill}\n{apache}\n{fill}"),
+            (6, f"{fill} {apache} {fill} {apache}\n{fill} {TEMPLATES['MIT']} {fill}"), (7, f"the apache license of {fill} version 2.0 licensed under"),
+            (8, f"{fill} # {mit} # {fill} {fill} {fill} {fill}".replace("\n", " "))]
+    got = sorted((r.doc_id, r.line_no, r.licence, round(r.dice, 3)) for r in scan_licences(documents(rows)).collect())
+    assert got == [(1, 1, "Apache-2.0", 1.0), (2, 2, "GPL-3.0", 1.0), (3, 4, "MIT", 1.0), (4, 0, "MIT", 1.0), (5, 2, "Apache-2.0", 1.0),
+                   (6, 1, "Apache-2.0", 1.0), (6, 1, "Apache-2.0", 1.0), (6, 2, "MIT", 1.0), (8, 1, "MIT", 1.0)]
