@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import chat, decontamination, exact_dedup, language_id, licences, mixing, ngram_join, sharding, token_files, url_filter
+from . import chat, decontamination, exact_dedup, language_id, licences, mixing, ngram_join, resampling, sharding, token_files, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,26 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query(r"""
+WITH tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS v FROM range(256) AS b(i))),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS f FROM d),
+y AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+h AS (SELECT f, hex(f) AS bytes FROM (SELECT DISTINCT f FROM (SELECT f FROM x UNION ALL SELECT f FROM y))),
+b AS (SELECT f, xor(list_reduce(list_transform(range(len(bytes) // 2), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT),
+                                lambda c, k: xor(tab[(xor(c, k) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS bucket FROM h, tab),
+s AS (SELECT bucket, count(*) AS s FROM x JOIN b USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM y JOIN b USING (f) GROUP BY bucket),
+g AS (SELECT f, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM x) + 10000.0::DOUBLE)
+                                / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM y) + 10000.0::DOUBLE))))::BIGINT AS gain
+      FROM b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+w AS (SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM x JOIN g USING (f) GROUP BY doc_id),
+r AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+      FROM documents LEFT JOIN w USING (doc_id)),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM r WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM k) THEN place END AS rank FROM r LEFT JOIN k USING (doc_id)""")
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
