@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import chat, decontamination, exact_dedup, language_id, licences, mixing, ngram_join, phrases, resampling, sharding, token_files, url_filter
+from . import chat, decontamination, exact_dedup, language_id, licences, mixing, ngram_join, phrases, resampling, secrets, sharding, token_files, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,8 @@ k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FR
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM k) THEN place END AS rank FROM r LEFT JOIN k USING (doc_id)""")
 def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(secrets.scan_secrets(table(spark, sf_dir, "documents")))
