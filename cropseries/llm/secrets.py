@@ -16,16 +16,16 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(rb"[0-9a-f]{32,}")
-#: Runs that the models judge: of the models' characters, padding at most at the end.
+#: Runs that the models judge: of letters, digits and the signs of base 64 and of names, padding at most at the end.
 _RUN = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
-_CHARACTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-#: Character -> state; 0 is any other character, which begins and ends strings.
+_CHARACTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+#: Character -> state; 0 is any other character, which begins and ends strings. So a name of several words is judged by its words.
 _STATE = np.zeros(256, dtype=np.int32)
 _STATE[list(_CHARACTERS)] = np.arange(1, len(_CHARACTERS) + 1)
 STATES = len(_CHARACTERS) + 1
 CELLS = STATES ** 3
-#: Log-likelihood ratio, in nats, from which a run is reported, and characters that it has at least.
-LEAST, LEAST_CHARACTERS = 16.0, 16
+#: Log-likelihood ratio, in nats, from which a run is reported, and different characters that it has at least.
+LEAST, DIFFERENT = 24.0, 6
 #: Bytes of text whose triples are counted at once.
 PIECE = 1 << 20
 
@@ -71,8 +71,8 @@ class SecretModel:
         return SecretModel(ratio.ravel())
 
     def score(self, run: bytes) -> float:
-        """Log-likelihood ratio of a string, padding left out."""
-        return float(self.ratio[triples(_STATE[np.frombuffer(run.rstrip(b"="), np.uint8)])].sum(dtype=np.float64))
+        """Log-likelihood ratio of a string, signs left out."""
+        return float(self.ratio[triples(_STATE[np.frombuffer(run, np.uint8)])].sum(dtype=np.float64))
 
 
 def random_spans(text: bytes, base: list[tuple[int, int, int]], model: SecretModel, least: float = LEAST) -> list[tuple[int, int, int]]:
@@ -84,7 +84,7 @@ def random_spans(text: bytes, base: list[tuple[int, int, int]], model: SecretMod
             at += 1
         if any(start < m.end() and end > m.start() for start, end in taken[at:at + 4]):
             continue
-        if model.score(m.group()) >= least:
+        if len(set(m.group())) >= DIFFERENT and model.score(m.group()) >= least:
             found.append((m.start(), 3, m.end()))
     return found
 
@@ -135,7 +135,7 @@ def train_secret_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The patterns label: what they find is random. Other strings of the texts are ordinary where they are too short to be reported,
     so that secrets that no pattern finds don't teach the models that they are ordinary. Since the patterns find few alphabets, each document also gives four random strings drawn from the digests of its id: in lower- and upper-case
-    hexadecimal digits, in base 64, and in base 64 without signs.
+    hexadecimal digits, in base 64, and in letters and digits.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     digest = lambda k: F.sha2(F.concat(F.lit(f"{k}:"), key), 256)
@@ -155,8 +155,8 @@ def scan_secrets(docs: DataFrame, model: SecretModel | None = None, least: float
     Spans are counted in code points, the end exclusive. ``assign`` is a match of a key word with its value (8 characters or more,
     ASCII letters of the key word in either case), ``access`` an AKIA key of 16 characters or more, ``hex`` a run of
     32 or more hexadecimal digits in lower case; per kind they are leftmost and don't overlap. ``random`` is a run of at least 16
-    letters, digits and ``+/_-`` that touches none of them and whose log-likelihood ratio between the two character
-    models reaches ``least`` nats. Without ``model``, one is trained on ``docs``.
+    letters, digits and ``+/_-`` that touches none of them, holds a few different characters, and whose log-likelihood ratio
+    between the two character models reaches ``least`` nats. Without ``model``, one is trained on ``docs``.
 
     Texts are judged where they lie, nothing but the models' counts (of fixed size) is shuffled, and the table of ratios of
     fixed size is broadcast. Null and empty texts have no spans; null ids and repeated rows are scanned as they are; an empty table gives no rows.

@@ -61,7 +61,7 @@ def test_held_out_strings(documents):
     train = documents([(i, prose(rnd, 400) + " " + (secret() if i % 3 == 0 else "")) for i in range(200)])
     model = train_secret_model(train)
     held = [(i, prose(rnd, 50) + " " + key(rnd, ("hex", "b64", "url")[i % 3]) + " " + prose(rnd, 50)) for i in range(300)]
-    clean = [(1000 + i, prose(rnd, 300)) for i in range(300)]
+    clean = [(1000 + i, prose(rnd, 300) + rnd.choice([" ", " ContinentalGenerationFormula ", " --------------------------- ", " AAAAAAAAAAAAAAAAAAAAAAA "])) for i in range(300)]
     found = {r.doc_id: [s for s in r.spans if s.kind_name == "random"] for r in scan_secrets(documents(held + clean), model).collect()}
     hits = sum(len(found[i]) == 1 and text[found[i][0].start:found[i][0].end] in text.split() for i, text in held)
     assert hits >= 0.99 * len(held) and not any(found[i] for i, _ in clean)
