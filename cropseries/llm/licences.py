@@ -73,6 +73,11 @@ def _rare_grams(grams: Sequence[str], threshold: float) -> tuple[list[str], int]
     return taken, len(taken) - allowed
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that lambdas read: behind a generator it is computed once for a row, and not again for each element."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
 def _windows(rows: DataFrame, known: Sequence[tuple[str, list[str]]], threshold: float) -> DataFrame:
     """Statements within longer units or across lines: (_id, line_no, licence, dice) of the windows of ``scan_licences``."""
     known = [(name, grams) for name, grams in known if " " in grams[0]]
@@ -120,7 +125,7 @@ def _windows(rows: DataFrame, known: Sequence[tuple[str, list[str]]], threshold:
     ordered = F.array_sort(F.transform("_pairs", lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"))))
     rows = rows.withColumn("_o", ordered)
     earlier = lambda x, k: F.when((k > 0) & (F.get("_o", k - 1)["p"] == x["p"]), F.get("_o", k - 1)["i"]).otherwise(-1)
-    rows = rows.withColumn("_before", F.array_sort(F.transform("_o", lambda x, k: F.struct(x["i"].alias("i"), earlier(x, k).alias("before"))))).drop("_o")
+    rows = _once(rows, "_before", F.array_sort(F.transform("_o", lambda x, k: F.struct(x["i"].alias("i"), earlier(x, k).alias("before"))))).drop("_o")
     # of each template: which pairs it holds; windows start and end with such a pair
     marked = lambda t: F.struct(t.dropFields("g").alias("t"), F.transform("_pairs", lambda x, i: F.struct(
         i.alias("i"), F.get("_before", i)["before"].alias("before"), F.array_contains(t["g"], x["p"]).alias("hit"))).alias("marks"))
@@ -148,7 +153,7 @@ def _windows(rows: DataFrame, known: Sequence[tuple[str, list[str]]], threshold:
     # lines that state the licence as they are
     states_one = lambda held: F.exists("_c.templates", lambda t: 2 * F.size(F.array_intersect(held, t["g"])) / (F.size(held) + t["t"]) >= threshold)
     stated = lambda line: F.get(F.transform(F.array(bigrams_of(line)), states_one), 0)
-    rows = rows.withColumn("_stated", F.filter(F.transform("_lines", lambda line, i: F.when(stated(line), i + 1)), lambda i: i.isNotNull()))
+    rows = _once(rows, "_stated", F.filter(F.transform("_lines", lambda line, i: F.when(stated(line), i + 1)), lambda i: i.isNotNull()))
     first_line = lambda w: F.get("_pairs", w["start"])["a"]
     last_line = lambda w: F.get("_pairs", w["stop"])["b"]
     rows = rows.withColumn("_found", F.filter("_found", lambda w: ~F.exists("_stated", lambda i: i.between(first_line(w), last_line(w)))))

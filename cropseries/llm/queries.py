@@ -101,8 +101,8 @@ l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, text FR
 u AS (SELECT doc_id, 0 AS line_no, text AS unit FROM l WHERE len(lines) > 1
       UNION ALL SELECT doc_id, unnest(range(1, len(lines) + 1))::INT, unnest(lines) FROM l),
 w AS (SELECT doc_id, line_no, {_WORDS.format('unit')} AS w FROM u),
-b AS (SELECT doc_id, line_no, {_PAIRS.format('w')} AS b FROM w WHERE len(w) BETWEEN 1 AND 100),
-d AS (SELECT doc_id, line_no, licence, 2 * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM b, t)
+b AS (SELECT doc_id, line_no, {_PAIRS.format('w')} AS b FROM w WHERE len(w) >= 1),
+d AS (SELECT doc_id, line_no, licence, 2 * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM b, t WHERE len(b) <= 40)
 SELECT doc_id, line_no, licence, round(dice, 6) AS dice FROM d WHERE dice >= 0.75""")
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
