@@ -32,7 +32,8 @@ END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Ids of a block before it is closed; a block holds whole documents.
 BLOCK_IDS = 1 << 21
-ROUNDS, RULES_PER_ROUND, MIN_COUNT = 5, 3072, 16
+#: Rules added in one pass, and the count from which a pair is replaced: a rule takes 8 bytes and saves 2 for each occurrence.
+RULES_PER_ROUND, MIN_COUNT = 3072, 5
 _CELL_BITS = 20
 FILE_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.int32()),
                          ("doc_ids", pa.binary()), ("doc_null", pa.binary()), ("doc_tokens", pa.binary()), ("doc_symbols", pa.binary()),
@@ -105,7 +106,8 @@ class WordEncoder:
     def word(self, text: str) -> bytes:
         """Ids of a lower-cased word without white space."""
         core = text.rstrip(_PUNCTUATION)
-        if core and core != text and core[-1].isalpha() and core[-1] < "\u0250":
+        # a letter that normalisation turns into a letter and a mark (capital I with dot) doesn't end a word of letters
+        if core and core != text and core[-1].isalpha() and core[-1] < "\u0250" and len(core[-1].lower()) == 1:
             return self.memory[core.encode()] + self.memory[text[len(core):].encode()]
         if _plain_letters(text):
             return array("I", [t.id for t in self.tokenizer.model.tokenize(text if text.isascii() else text.translate(self.letters))]).tobytes()
@@ -183,15 +185,16 @@ def _frequent_pairs(pairs: np.ndarray, cells: np.ndarray, limit: int, least: int
     return values[np.sort(np.unique(_cells(values), return_index=True)[1])[:limit]]
 
 
-def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, least: int = MIN_COUNT) -> tuple[np.ndarray, Grammar]:
-    """Re-Pair: in each round the most frequent pairs become new symbols and are replaced from left to right.
+def repair(ids: np.ndarray, base: int, per_round: int = RULES_PER_ROUND, least: int = MIN_COUNT) -> tuple[np.ndarray, Grammar]:
+    """Re-Pair: in each round the most frequent pairs become new symbols and are replaced from left to right, until no pair occurs
+    ``least`` times or the symbols, which stay below 65,536, are used up.
 
     Replacing many pairs in a round keeps the number of passes small; where marked pairs overlap, every second one of the
-    run is replaced. Pairs with the end id stay apart, also where it is a token of a text. Symbols stay below 65,536.
+    run is replaced. Pairs with the end id stay apart, also where it is a token of a text.
     """
     seq, rules = ids.astype(np.uint16), []
     size_of = np.ones(1 << 16, dtype=np.uint32)
-    for _ in range(rounds):
+    while True:
         first, room = base + len(rules), min(per_round, (1 << 16) - base - len(rules))
         if room <= 0 or len(seq) < 2:
             break

@@ -1,10 +1,12 @@
 import random
+import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from cropseries.llm.token_files import FILE_DDL, decode_block, read_token_files, read_tokens, repair, tokenizer_path, write_token_files
+from cropseries.llm.token_files import FILE_DDL, MIN_COUNT, WordEncoder, decode_block, read_token_files, read_tokens, repair, tokenizer_path, write_token_files
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +78,31 @@ def test_random_access_where_a_text_holds_the_end_id(documents, spark, tokenizer
             seen[doc] = read_tokens(row, k).tolist()
             assert read_tokens(row, k, 1, 3).tolist() == seen[doc][1:3]
     assert seen == {d: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for d, t in data}
+
+
+def same_ids(tokenizer, texts):
+    ids, n = WordEncoder.of(tokenizer_path()).encode([t.encode() for t in texts])
+    ends = np.cumsum(n)
+    return [t for t, a, b in zip(texts, ends - n, ends) if ids[a:b].tolist() != tokenizer.encode(t, add_special_tokens=False).ids + [1]]
+
+
+def test_every_letter_before_every_punctuation_mark(tokenizer):
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    texts = [f"taks{a}{b}" for a in letters for b in string.punctuation] + [f"{a}{b}{a}" for a in letters for b in ".'-"]
+    assert same_ids(tokenizer, texts) == [] and same_ids(tokenizer, ["TAKS\u0130.", "\u0130", "\u0130!", "a\u0130\u0307."]) == []
+
+
+def test_random_strings(tokenizer):
+    rnd = random.Random(6)
+    alphabet = "abzAZ019'.,-!?\"#" + "\u00c4\u00df\u0130\u0131\u0149\u017f\u01c5\u0307\u0301\u212a\u00a0\u2028\u00ad\u00aa\u0660\u4e2d\U0001f600" + " \n\t"
+    assert same_ids(tokenizer, ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 12))) for _ in range(20_000)]) == []
+
+
+def test_no_frequent_pair_is_left():
+    rnd = np.random.default_rng(7)
+    phrase = rnd.integers(10, 2000, 400)
+    ids = np.concatenate([np.concatenate((phrase, [1])) for _ in range(50)] + [rnd.integers(10, 2000, 3000)]).astype(np.uint32)
+    symbols, grammar = repair(ids, 5000, per_round=64)
+    pairs = Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist()))
+    assert grammar.lengths.max() > 32 and grammar.expand(symbols).tolist() == ids.tolist()
+    assert all(n < MIN_COUNT or 1 in p or p[0] == p[1] for p, n in pairs.items())
