@@ -97,16 +97,22 @@ def _dense_slots(sparse: DataFrame, keys: Sequence[str], values: Sequence[str],
     return grid.select(*keys, "slot", *[found[v].alias(v) for v in values])
 
 
+def steps_between(df: DataFrame, days: int = 14, date: str = "obs_date") -> int:
+    """Slots of ``days`` that reach from the last date of a table back to its first; 1 where there is none."""
+    first, last = df.agg(F.min(date), F.max(date)).first()
+    return (last - first).days // days + 1 if first is not None else 1
+
+
 def composite_nanmean(df: DataFrame, keys: Sequence[str], bands: Sequence[str], end: str | Column,
-                      n_months: int = 6, days: int = 14, date: str = "obs_date") -> DataFrame:
+                      n_months: int = 6, days: int = 14, date: str = "obs_date", steps: int | None = None) -> DataFrame:
     """Backward composite: mean of the valid values per slot counted back from ``end``, empty slots 0.
 
-    ``end`` may be a window column that is part of ``keys``. A slot's date is the mean acquisition date,
+    The slots cover ``n_months`` months, or there are ``steps`` of them (see ``steps_between``). ``end`` may be a window column that is part of ``keys``. A slot's date is the mean acquisition date,
     or the slot's own end where it is empty. Dates outside all slots count for nothing, but their pixels stay,
     with empty slots. The first grouping combines on the map side, so neither a pixel with very many observations nor
     the dates outside load a task; the second moves one row per pixel and slot.
     """
-    steps = cal.slot_count(n_months, days)
+    steps = cal.slot_count(n_months, days) if steps is None else steps
     end = F.col(end) if isinstance(end, str) and end in df.columns else _date(end)
     placed = df.withColumn("slot", cal.backward_slot(date, end, steps, days))
     sparse = placed.groupBy(*keys, "slot").agg(

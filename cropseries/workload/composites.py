@@ -22,27 +22,24 @@ def _last(t):
     return t.px_series.agg(F.max("obs_date").alias("d")).scalar()
 
 
-# 84 months of 14 days back from the last date: all dates of the table
-N_MONTHS, STEPS = 84, 180
-
+# as many slots as reach from the last date of the table back to its first
 SLOTTED = f"""
-    slotted AS (SELECT c.*, {STEPS - 1} - CAST(FLOOR((last - obs_date) / 14) AS INT) AS slot, last
-                FROM {CLEAR} c, (SELECT MAX(obs_date) AS last FROM $px_series) WHERE last - obs_date < {STEPS * 14}),
-    grid AS (SELECT pixel_id, last, CAST(UNNEST(RANGE(0, {STEPS})) AS INT) AS slot
-             FROM (SELECT DISTINCT pixel_id FROM $px_series), (SELECT MAX(obs_date) AS last FROM $px_series))"""
+    span AS (SELECT MAX(obs_date) AS last, CAST(FLOOR((MAX(obs_date) - MIN(obs_date)) / 14) AS INT) + 1 AS steps FROM $px_series),
+    slotted AS (SELECT c.*, steps - 1 - CAST(FLOOR((last - obs_date) / 14) AS INT) AS slot, last FROM {CLEAR} c, span),
+    grid AS (SELECT pixel_id, last, steps, CAST(UNNEST(RANGE(0, steps)) AS INT) AS slot FROM (SELECT DISTINCT pixel_id FROM $px_series), span)"""
 
 NANMEAN = f"""{SLOTTED},
     m AS (SELECT pixel_id, slot, AVG(obs_date - DATE '1970-01-01') AS mean_day, AVG(blue) AS blue, AVG(red) AS red, AVG(nir) AS nir
           FROM slotted GROUP BY 1, 2),
     composite AS (SELECT pixel_id, slot,
-                         COALESCE(DATE '1970-01-01' + CAST(FLOOR(mean_day) AS INT), last - 14 * ({STEPS - 1} - slot)) AS slot_date,
+                         COALESCE(DATE '1970-01-01' + CAST(FLOOR(mean_day) AS INT), last - 14 * (steps - 1 - slot)) AS slot_date,
                          COALESCE(blue, 0) AS blue, COALESCE(red, 0) AS red, COALESCE(nir, 0) AS nir
                   FROM grid LEFT JOIN m USING (pixel_id, slot))"""
 
 
 def _composite(t):
     clear = fmask_mask(t.px_series, ["blue", "red", "nir"])
-    return timegrid.composite_nanmean(clear, KEYS, ["blue", "red", "nir"], _last(t), N_MONTHS)
+    return timegrid.composite_nanmean(clear, KEYS, ["blue", "red", "nir"], _last(t), steps=timegrid.steps_between(t.px_series))
 
 
 @query("composite_nanmean", f"""WITH {NANMEAN}
@@ -74,11 +71,11 @@ def evi_curves(t):
 @query("composite_grid", f"""WITH {SLOTTED},
     m AS (SELECT pixel_id, slot, AVG(COALESCE(red, 0)) AS red, AVG(COALESCE(nir, 0)) AS nir FROM slotted GROUP BY 1, 2)
     SELECT pixel_id, slot, {r6('COALESCE(red, 0)', 'red')}, {r6('COALESCE(nir, 0)', 'nir')},
-           CAST(DAYOFYEAR(last - 14 * ({STEPS - 1} - slot)) AS INT) AS doy, {r6(f'DAYOFYEAR(last - 14 * ({STEPS - 1} - slot)) / 365.0', 'day')}
+           CAST(DAYOFYEAR(last - 14 * (steps - 1 - slot)) AS INT) AS doy, {r6(f'DAYOFYEAR(last - 14 * (steps - 1 - slot)) / 365.0', 'day')}
     FROM grid LEFT JOIN m USING (pixel_id, slot)""")
 def composite_grid(t):
     clear = fmask_mask(t.px_series, ["red", "nir"])
-    return timegrid.composite_grid(clear, KEYS, ["red", "nir"], _last(t), STEPS)
+    return timegrid.composite_grid(clear, KEYS, ["red", "nir"], _last(t), timegrid.steps_between(t.px_series))
 
 
 @query("daily_mean", f"""

@@ -106,3 +106,12 @@ def test_random_month_window_keeps_months_of_every_year(spark):
 def test_pad_dates(spark, rows):
     df = frame(spark, [(1, dt.date(2022, 1, 9), 0.5), (1, dt.date(2022, 1, 5), None)])
     assert rows(timegrid.pad_dates(df, ["p"], ["v"], 4), "step", "v") == [(0, 0.0), (1, 0.5), (2, 0.0), (3, 0.0)]
+
+
+def test_steps_reach_back_to_the_first_date(spark):
+    days = [0, 13, 14, 2519, 2520, 4000]
+    df = spark.createDataFrame([(1, d) for d in days], "k int, d int").selectExpr("k", "date_add(date'2010-01-01', d) AS obs_date", "d + 1.0 AS v")
+    steps = timegrid.steps_between(df)
+    assert steps == 4000 // 14 + 1 and timegrid.steps_between(df.limit(0)) == 1
+    full = timegrid.composite_nanmean(df, ["k"], ["v"], "2020-12-14", steps=steps).collect()
+    assert len(full) == steps and sum(r.v > 0 for r in full) == len({(4000 - d) // 14 for d in days})
