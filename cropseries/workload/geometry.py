@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import augment, raster
+from ..operators import augment, patches, raster
 from .registry import drawn, drawn_unit, query, r6
 
 TILE = ["tile_id"]
@@ -185,3 +186,30 @@ _C, _S = "COS(RADIANS(30))", "SIN(RADIANS(30))"
     FROM s LEFT JOIN $px_image p ON p.tile_id = s.tile_id AND p.y = s.sy AND p.x = s.sx""")
 def affine_remap(t):
     return augment.affine_remap(t.px_image, TILE, ["nir", "label"], 48, 48, shift=(3, -2), angle=30.0, zoom=0.25)
+
+
+# two slots (even and odd years), two bands, patches of 16 x 16; three classes with a 3 x 3 kernel each
+_KERNEL = lambda k, t, c, dy, dx: f"(({k} * 5 + {t} * 3 + {c} * 7 + ({dy}) * 2 + ({dx})) % 11 - 5)"
+
+
+@query("score_images", f"""
+    WITH p AS (SELECT tile_id, y, x, CAST(YEAR(obs_date) % 2 AS INT) AS t, MAX(red) AS red, MAX(nir) AS nir FROM $px_raster GROUP BY 1, 2, 3, 4),
+         v AS (SELECT tile_id, y, x, t, 0 AS c, red AS v FROM p UNION ALL SELECT tile_id, y, x, t, 1 AS c, nir AS v FROM p),
+         g AS (SELECT tile_id, CAST(y AS INT) AS y, CAST(UNNEST(RANGE(0, 48)) AS INT) AS x FROM (SELECT tile_id, UNNEST(RANGE(0, 48)) AS y FROM (SELECT DISTINCT tile_id FROM $px_raster))),
+         n AS (SELECT v.tile_id, v.y + 1 - dy AS y, v.x + 1 - dx AS x, v.y AS sy, v.x AS sx, t, c, dy, dx, v FROM v, (SELECT UNNEST([0, 1, 2]) AS dy), (SELECT UNNEST([0, 1, 2]) AS dx)),
+         s AS (SELECT tile_id, y, x, {', '.join(f"SUM(v * {_KERNEL(k, 't', 'c', 'dy', 'dx')}) AS s{k}" for k in range(3))}
+               FROM n WHERE FLOOR(y / 16) = FLOOR(sy / 16) AND FLOOR(x / 16) = FLOOR(sx / 16) GROUP BY 1, 2, 3),
+         r AS (SELECT tile_id, y, x, {', '.join(r6(f'COALESCE(s{k}, 0)', f's{k}') for k in range(3))} FROM g LEFT JOIN s USING (tile_id, y, x))
+    SELECT *, CAST(CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS INT) AS class FROM r""")
+def score_images(t):
+    """A 3 x 3 convolution over all slots and bands of each patch; a patch doesn't see its neighbours."""
+    weights = np.fromfunction(lambda k, t, c, dy, dx: (k * 5 + t * 3 + c * 7 + dy * 2 + dx) % 11 - 5, (3, 2, 2, 3, 3))
+
+    def convolve(tensors, kernel):
+        padded = np.pad(tensors, ((0, 0), (0, 0), (0, 0), (1, 1), (1, 1)))
+        windows = np.lib.stride_tricks.sliding_window_view(padded, (3, 3), axis=(3, 4))
+        return np.round(np.einsum("ntcyxij,ktcij->nkyx", windows, kernel), 6)
+
+    slotted = t.px_raster.withColumn("slot", F.year("obs_date") % 2)
+    scored = patches.score_images(slotted, convolve, TILE, ["red", "nir"], 16, 2, 48, 48, weights, dtype="<f8")
+    return scored.select("tile_id", "y", "x", *[F.col("scores")[k].alias(f"s{k}") for k in range(3)], "class")
