@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..relational import first_k_per_key
+from ..relational import first_k_per_key, join_lookup
 
 # Band name per product and asset suffix.
 BAND_ASSETS = {
@@ -37,6 +37,35 @@ def granule_search(granules: DataFrame, bbox: tuple[float, float, float, float],
     return found if max_results is None else first_k_per_key(found, ["product"], [F.col("begin_ts"), F.col("granule_id")], max_results)
 
 
+def search_areas(granules: DataFrame, areas: DataFrame, cell: float = 1.0, days: int = 32,
+                 products: Sequence[str] = ("HLSS30", "HLSL30")) -> DataFrame:
+    """(area_id, granule columns) of every granule that overlaps an area's box in its period; one row per pair.
+
+    ``areas`` has ``area_id``, the box (min_lon, max_lon, min_lat, max_lat) and ``start`` and ``end`` times, all inclusive. Both
+    sides go to the cells of space (``cell`` degrees) and time (``days``) that they reach, and meet by an equi-join on the cell. A
+    pair that shares several cells is kept in one only, that of the lower left corner of what the boxes share. Areas go out by a
+    checked broadcast, else the join is salted. ``cell`` and ``days`` should be about as large as the boxes and periods: smaller ones copy
+    more, larger ones test more pairs. Rows without bounds or time, and boxes or periods whose end lies before their start, match nothing.
+    """
+    cell_of = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("bigint")
+    bucket = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / F.lit(days)).cast("bigint")
+    bounds = ("min_lon", "max_lon", "min_lat", "max_lat")
+    ordered = (F.col("min_lon") <= F.col("max_lon")) & (F.col("min_lat") <= F.col("max_lat"))
+    reach = lambda df, a, b, name: df.withColumn(name, F.explode(F.sequence(a, b)))
+
+    def cells(df: DataFrame) -> DataFrame:
+        return reach(reach(df.filter(ordered), cell_of("min_lon"), cell_of("max_lon"), "_cx"), cell_of("min_lat"), cell_of("max_lat"), "_cy")
+    wanted = areas.filter("start <= end").withColumns({"_start": F.col("start").cast("timestamp_ntz"), "_end": F.col("end").cast("timestamp_ntz")})
+    wanted = reach(cells(wanted), bucket("_start"), bucket("_end"), "_ct")
+    wanted = wanted.select("area_id", "_cx", "_cy", "_ct", "_start", "_end", *[F.col(b).alias(f"_{b}") for b in bounds])
+    found = cells(granules.filter(F.col("product").isin(list(products)) & F.col("begin_ts").isNotNull())).withColumn("_ct", bucket("begin_ts"))
+    met = ((F.col("min_lon") <= F.col("_max_lon")) & (F.col("max_lon") >= F.col("_min_lon")) & (F.col("min_lat") <= F.col("_max_lat"))
+           & (F.col("max_lat") >= F.col("_min_lat")) & F.col("begin_ts").between(F.col("_start"), F.col("_end")))
+    corner = lambda c: F.floor(F.greatest(F.col(f"min_{c}"), F.col(f"_min_{c}")) / F.lit(cell))
+    once = (F.col("_cx") == corner("lon")) & (F.col("_cy") == corner("lat"))
+    return join_lookup(found, wanted, ["_cx", "_cy", "_ct"]).filter(met & once).select("area_id", *granules.columns)
+
+
 def granule_metadata(raw: DataFrame, column: str = "metadata") -> DataFrame:
     """Flatten the nested JSON: id, begin time, and the cloud cover kept as the second additional attribute."""
     m = raw.withColumn("_m", F.from_json(column, METADATA_SCHEMA)["umm"])

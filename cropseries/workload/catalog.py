@@ -132,6 +132,18 @@ def tile_grid(t):
     return _grid(t)
 
 
+@query("search_areas", f"""
+    SELECT cell_id AS area_id, granule_id, product, {r6('g.min_lon', 'min_lon')}, {r6('g.min_lat', 'min_lat')} FROM $granules g JOIN (
+        SELECT *, TIMESTAMP '1996-01-01' + INTERVAL 1 DAY * (cell_id % 5 * 100) AS s, TIMESTAMP '1998-06-01' + INTERVAL 1 DAY * (cell_id % 7 * 50) AS e FROM ({_GRID})) a
+    ON g.min_lon <= a.max_lon AND g.max_lon >= a.min_lon AND g.min_lat <= a.max_lat AND g.max_lat >= a.min_lat AND begin_ts BETWEEN s AND e""")
+def search_areas(t):
+    """All tiles of the grid, each with a period of its own, against all granules. Grid bounds to six decimals, as in the SQL."""
+    bounds = {c: F.round(c, 6) for c in ("min_lon", "max_lon", "min_lat", "max_lat")}
+    day = lambda first, n, k: F.expr(f"timestamp_ntz'{first}' + make_dt_interval(CAST(cell_id % {n} * {k} AS INT))")
+    areas = _grid(t).withColumns({**bounds, "area_id": F.col("cell_id"), "start": day("1996-01-01", 5, 100), "end": day("1998-06-01", 7, 50)})
+    return granules.search_areas(t.granules, areas, 0.5, 64).select("area_id", "granule_id", "product", "min_lon", "min_lat")
+
+
 @query("tile_sample", f"SELECT * EXCLUDE k FROM (SELECT *, {hash_rank(42, 'cell_id')} AS k FROM ({_GRID})) WHERE k <= 50")
 def tile_sample(t):
     return catalog.tile_sample(_grid(t), 50, seed=42)

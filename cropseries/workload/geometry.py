@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import augment, patches, raster
+from ..operators import augment, patches, quadtree, raster
 from .registry import drawn, drawn_unit, query, r6
 
 TILE = ["tile_id"]
@@ -54,6 +54,30 @@ def clip_polygon(t):
     return raster.clip_polygon(t.px_image, polygons, cell=16.0).select("tile_id", "y", "x", "polygon_id")
 
 
+# of each nation a square with a triangular hole and a second part, as edges relative to a corner
+_RINGS = [[(0, 0), (20, 5), (17, 22), (3, 18)], [(5, 6), (12, 8), (8, 14)], [(22, 23), (28.2, 24), (23.4, 28.6)]]
+_EDGES = ", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for ring in _RINGS for a, b in zip(ring, ring[1:] + ring[:1]))
+_TURN = lambda dx, dy: f"((x2 - x1) * (y + ({dy}) - y1) - (y2 - y1) * (x + ({dx}) - x1))"
+_TURNS = ", ".join(_TURN(dx, dy) for dx in (-0.5, 0.5) for dy in (-0.5, 0.5))
+
+
+@query("clip_polygons_touched", f"""
+    WITH e AS (SELECT n_nationkey AS polygon_id, px + a AS x1, py + b AS y1, px + c AS x2, py + d AS y2
+               FROM (SELECT n_nationkey, CAST({_X} AS DOUBLE) AS px, CAST({_Y} AS DOUBLE) AS py FROM nation), (VALUES {_EDGES}) AS v(a, b, c, d)),
+         t AS (SELECT tile_id, y, x, polygon_id,
+                      BOOL_OR(GREATEST(x1, x2) >= x - 0.5 AND LEAST(x1, x2) < x + 0.5 AND GREATEST(y1, y2) >= y - 0.5 AND LEAST(y1, y2) < y + 0.5
+                              AND LEAST({_TURNS}) <= 0 AND GREATEST({_TURNS}) >= 0) AS met,
+                      SUM(CASE WHEN (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END) % 2 = 1 AS inside
+               FROM $px_image, e GROUP BY 1, 2, 3, 4)
+    SELECT tile_id, y, x, polygon_id FROM t WHERE met OR inside""")
+def clip_polygons_touched(t):
+    """Polygons of several rings; every pixel that they touch counts."""
+    px, py = (F.col("n_nationkey") % 5 * 9 + F.lit(0.37)).cast("double"), (F.floor(F.col("n_nationkey") / 5) * 9 + F.lit(0.41)).cast("double")
+    rings = F.array(*[F.array(*[F.struct((px + a).alias("x"), (py + b).alias("y")) for a, b in [*ring, ring[0]]]) for ring in _RINGS])
+    polygons = t.nation.select(F.col("n_nationkey").alias("polygon_id"), rings.alias("rings"))
+    return quadtree.clip_polygons(t.px_image, polygons, 48, 48).select("tile_id", "y", "x", "polygon_id")
+
+
 @query("border_na", f"""
     SELECT tile_id, y, x, {r6('CASE WHEN x BETWEEN 7 AND 40 AND y BETWEEN 7 AND 40 THEN nir END', 'nir')} FROM $px_image""")
 def border_na(t):
@@ -84,6 +108,19 @@ def align_grid(t):
     return raster.align_grid(source, TILE, ["nir"], 1.0, 1.0, 2.0)
 
 
+@query("align_nearest", f"""
+    WITH s AS (SELECT tile_id, x * 2 AS sx, y * 2 AS sy, nir FROM $px_image),
+         xs AS (SELECT tile_id, col, arg_min(sx, (ABS(sx - (col - 3)), sx)) AS sx
+                FROM (SELECT DISTINCT tile_id, sx FROM s), (SELECT CAST(UNNEST(RANGE(0, 100)) AS INT) AS col) GROUP BY 1, 2 HAVING MIN(sx) <= col - 3 AND MAX(sx) >= col - 3),
+         ys AS (SELECT tile_id, row, arg_min(sy, (ABS(sy - (row + 1)), sy)) AS sy
+                FROM (SELECT DISTINCT tile_id, sy FROM s), (SELECT CAST(UNNEST(RANGE(0, 100)) AS INT) AS row) GROUP BY 1, 2 HAVING MIN(sy) <= row + 1 AND MAX(sy) >= row + 1)
+    SELECT tile_id, row, col, {r6('nir', 'nir')} FROM s JOIN xs USING (tile_id, sx) JOIN ys USING (tile_id, sy)""")
+def align_nearest(t):
+    """A grid twice as fine as the scene, shifted and larger."""
+    source = t.px_image.select("tile_id", (F.col("x") * 2).alias("x"), (F.col("y") * 2).alias("y"), "nir")
+    return raster.align_nearest(source, TILE, ["nir"], -3.0, 1.0, 1.0, 100, 100)
+
+
 @query("tile_bounds", """
     SELECT tile_id, MIN(x) AS x1, MAX(x) AS x2, MIN(y) AS y1, MAX(y) AS y2,
            CONCAT('POLYGON ((', MIN(x), ' ', MIN(y), ', ', MAX(x), ' ', MIN(y), ', ', MAX(x), ' ', MAX(y), ', ', MIN(x), ' ', MAX(y), ', ',

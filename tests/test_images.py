@@ -172,3 +172,31 @@ def test_cutmix_copies_one_rectangle_from_the_partner(spark):
         q = pairs[r.patch]
         source = q.partner if q.x1 <= r.x < q.x2 and q.y1 <= r.y < q.y2 else r.patch
         assert (r.v, r.label) == (0.5 + source, source * 10)
+
+
+def test_align_nearest_loses_no_cell(spark):
+    sources = spark.createDataFrame([(1, 2 * i, 2 * j, float(10 * j + i)) for i in range(4) for j in range(3)], "tile_id int, x int, y int, v double")
+    got = {(r.row, r.col): r.v for r in raster.align_nearest(sources, ["tile_id"], ["v"], 0.0, 0.0, 1.0, 5, 7).collect()}
+    near = lambda k: k // 2  # a cell between two sources takes the lower
+    assert got == {(r, c): 10.0 * near(r) + near(c) for r in range(5) for c in range(7)}
+
+
+def test_align_nearest_matches_loop(spark):
+    rng = np.random.default_rng(3)
+    images = {1: (np.sort(rng.uniform(0, 20, 9)), np.sort(rng.uniform(0, 20, 6))), None: (np.array([3.0, 4.5, 4.75]), np.array([2.0])), 2: (np.arange(0, 20, 0.3), np.arange(5, 9, 0.3))}
+    rows = [(k, float(x), float(y), float(i * 1000 + j)) for k, (xs, ys) in images.items() for i, x in enumerate(xs) for j, y in enumerate(ys) if (i + j) % 5]
+    df = spark.createDataFrame(rows + [(1, None, 1.0, -1.0), (1, 1.0, None, -1.0)], "tile_id int, x double, y double, v double")
+    got = sorted(((r.tile_id, r.row, r.col, r.v) for r in raster.align_nearest(df, ["tile_id"], ["v"], -1.0, 0.5, 0.7, 40, 25).collect()), key=str)
+    want = []
+    for k in images:
+        own = [r for r in rows if r[0] == k]
+        xs, ys, values = sorted({r[1] for r in own}), sorted({r[2] for r in own}), {(r[1], r[2]): r[3] for r in own}
+        for row in range(40):
+            for col in range(25):
+                x, y = -1.0 + col * 0.7, 0.5 + row * 0.7
+                if xs[0] - 1e-9 <= x <= xs[-1] + 1e-9 and ys[0] - 1e-9 <= y <= ys[-1] + 1e-9:
+                    v = values.get((min(xs, key=lambda a: (round(abs(a - x), 8), a)), min(ys, key=lambda a: (round(abs(a - y), 8), a))))
+                    if v is not None:
+                        want.append((k, row, col, v))
+    assert (set(got) - set(want), set(want) - set(got), len(got)) == (set(), set(), len(want)) and len(want) > 300
+    assert raster.align_nearest(df.limit(0), ["tile_id"], ["v"], 0.0, 0.0, 1.0, 4, 4).count() == 0

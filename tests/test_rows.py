@@ -143,3 +143,25 @@ def test_merge_bands_is_an_outer_join(spark, rows):
     a = spark.createDataFrame([(1, 0.1), (2, 0.2)], "k int, a double")
     b = spark.createDataFrame([(2, 0.5), (3, 0.6)], "k int, b double")
     assert rows(bands.merge_bands({"a": a, "b": b}, ["k"])) == [(1, 0.1, None), (2, 0.2, 0.5), (3, None, 0.6)]
+
+
+def test_areas_meet_granules_once(spark):
+    import datetime as dt
+    import random
+    from cropseries.sources import granules
+    rnd = random.Random(2)
+    day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(hours=n)
+    box = lambda most: (lambda x, y: (x, x + rnd.uniform(0, most), y, y + rnd.uniform(0, most)))(rnd.uniform(-5, 5), rnd.uniform(-5, 5))
+    scenes = [(f"g{i}", rnd.choice(["HLSS30", "HLSL30", "other"]), *box(1.5), day(rnd.randrange(9000))) for i in range(150)]
+    scenes += [("late", "HLSS30", 0.0, 1.0, 0.0, 1.0, None), ("turned", "HLSS30", 1.0, 0.0, 0.0, 1.0, day(5)), ("edge", "HLSL30", 2.0, 3.0, -1.0, 0.0, day(100)), (None, "HLSS30", -9.0, 9.0, -9.0, 9.0, day(100))]
+    areas = [(i, *box(4), day(a), day(a + rnd.randrange(-100, 4000))) for i in range(40) for a in [rnd.randrange(8000)]]
+    areas += [(100, 1.0, 2.0, 0.0, 1.0, day(100), day(100)), (101, 0.0, None, 0.0, 1.0, day(0), day(9000)), (102, -9.0, 9.0, -9.0, 9.0, day(0), day(9000))]
+    g = spark.createDataFrame(scenes, "granule_id string, product string, min_lon double, max_lon double, min_lat double, max_lat double, begin_ts timestamp_ntz")
+    a = spark.createDataFrame(areas, "area_id int, min_lon double, max_lon double, min_lat double, max_lat double, start timestamp_ntz, end timestamp_ntz")
+    want = sorted(((k, s[0]) for k, x1, x2, y1, y2, t1, t2 in areas for s in scenes if s[1] != "other" and None not in (x2, s[6]) and s[2] <= s[3]
+                   and x1 <= s[3] and s[2] <= x2 and y1 <= s[5] and s[4] <= y2 and t1 <= s[6] <= t2), key=str)
+    for cell, days in ((1.0, 32), (0.7, 500), (20.0, 7)):
+        found = granules.search_areas(g, a, cell, days)
+        assert sorted(((r.area_id, r.granule_id) for r in found.collect()), key=str) == want
+    assert (100, "edge") in want and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert granules.search_areas(g, a.limit(0)).count() == 0
