@@ -119,6 +119,54 @@ def test_blocks_of_references_give_the_same_match(spark, monkeypatch, measure):
             assert abs(got[k][0] - d) < 1e-9 and got[k][1:] == (ref, f"c{ref}")
 
 
+def waves(rng, n):
+    """Curves like seasons: a hump of some height and place, and little noise."""
+    t = np.linspace(0, 1, 13)
+    return [(0.15 + rng.uniform(0.2, 0.7) * np.exp(-((t - rng.uniform(0.1, 0.9)) / rng.uniform(0.08, 0.3)) ** 2) + rng.normal(0, 0.01, 13)) for _ in range(n)]
+
+
+def test_lower_bounds_spare_most_warping_tables():
+    rng = np.random.default_rng(12)
+    refs, series = np.array(waves(rng, 60)), waves(rng, 200)
+    refs[7] = refs[3]
+    series[5] = refs[7].copy()
+
+    def full(a, b):
+        cost = np.full((len(a) + 1, len(b) + 1), np.inf)
+        cost[0, 0] = 0
+        for i in range(len(a)):
+            for j in range(len(b)):
+                cost[i + 1, j + 1] = abs(a[i] - b[j]) + min(cost[i, j], cost[i, j + 1], cost[i + 1, j])
+        return cost[-1, -1]
+    every = np.array([[full(s, r) for r in refs] for s in series])
+    assert (matching._dtw_bounds(np.array(series), refs) <= every).all()
+    position, distance, begun = matching._closest_by_dtw(series, refs)
+    assert position.tolist() == every.argmin(axis=1).tolist() and np.allclose(distance, every.min(axis=1), atol=0)
+    assert begun < 0.35 * every.size and position[5] == 3
+    position, distance, fewer = matching._closest_by_dtw(series, refs, 0.4)
+    near = every.min(axis=1) <= 0.4
+    assert fewer <= begun and (np.isfinite(distance) == near).all() and position[near].tolist() == every[near].argmin(axis=1).tolist()
+    assert matching._closest_by_dtw([], refs)[2] == matching._closest_by_dtw(series, refs[:0])[2] == 0
+
+
+def test_pivots_rule_out_most_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", 16)
+    rng = np.random.default_rng(13)
+    refs = [(i, v.tolist(), [1.0], f"c{i}") for i, v in enumerate(waves(rng, 400))]
+    refs.append((400, refs[9][1], [1.0], "again"))
+    data = [(i % 90, v.tolist()) for i, v in enumerate(waves(rng, 100))] + [(100, refs[9][1]), (101, [9.0] * 13), (102, [0.0] * 13), (103, [None] * 13)]
+    df, lib = spark.createDataFrame(data, "k int, vi array<double>"), spark.createDataFrame(refs, REFS)
+    got = sorted((r.k, r.ref_id, round(r.distance, 9), r.crop) for r in matching.nearest_reference(df, ["k"], lib, 0.3, ["crop"]).collect())
+    want = []
+    for k, y in data[:101]:
+        d, ref = min((math.dist(y, r[1]), r[0]) for r in refs)
+        want += [(k, ref, round(d, 9), f"c{ref}")] if d <= 0.3 else []
+    assert got == sorted(want) and (100, 9, 0.0, "c9") in got
+    blocks, pivots = matching._pivot_blocks(lib, ["vi"], len(refs))
+    bounds = matching._pivot_probes(df.filter("k < 100"), blocks, pivots, 0.3, "vi").select("_bounds").collect()
+    assert sum(len(r[0]) for r in bounds) < 0.6 * len(bounds) * blocks.count()
+
+
 def test_curve_shift_is_interpolation(spark):
     ref = [float(v) for v in RNG.random(13)]
     df = spark.createDataFrame([(ref,)], "vi array<double>")
