@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import written_table
+
 #: Names by SPDX and the statements they are usually declared with.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -73,6 +75,36 @@ def _rare_grams(grams: Sequence[str], threshold: float) -> tuple[list[str], int]
     return taken, len(taken) - allowed
 
 
+def _possible(rows: DataFrame, known: Sequence[tuple[str, list[str]]], threshold: float) -> DataFrame:
+    """The rows (_id, _text) whose text may state a licence in any unit or window, which all lie within its words.
+
+    Such a text holds enough of the longest bigrams of a template, and so enough of the longer words of those; words go first, since
+    bigrams cost more. A lambda binds the words, and a generator keeps the answer from being computed twice."""
+    single = sorted({g for _, grams in known for g in grams if " " not in g})
+    words, pairs = [], []
+    for taken, least in [_rare_grams(grams, threshold) for _, grams in known if " " in grams[0]]:
+        long = [max(g.split(" "), key=lambda w: (len(w), w)) for g in taken]
+        words.append((sorted(set(long)), -(-least // max(map(long.count, long)))))
+        pairs.append((taken, least))
+
+    def enough(held: Column, asked: list[tuple[list[str], int]]) -> Column:
+        some = F.lit(False)
+        for values, least in asked:
+            some = some | ((F.size(held) >= least) & (F.size(F.array_intersect(held, _strings(values))) >= least))
+        return some
+
+    def probe(df: DataFrame, of_words, asked: list[tuple[list[str], int]]) -> DataFrame:
+        every = _strings(sorted({v for values, _ in asked for v in values}))
+        value = lambda w: F.transform(F.array(F.array_intersect(of_words(w), every)), lambda held: enough(held, asked)) if asked else F.array(F.lit(False))
+        test = lambda w: F.get(value(w), 0) | (F.arrays_overlap(w, _strings(single)) if single else F.lit(False))
+        tested = df.select("_id", "_text", F.explode(F.transform(F.array(normal_words(F.col("_text"))), test)).alias("_some"))
+        return tested.filter("_some").select("_id", "_text")
+
+    joined = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(
+        " ", F.element_at(w, i.cast("int")), F.element_at(w, (i + 1).cast("int"))))).otherwise(F.array().cast("array<string>"))
+    return probe(probe(rows.filter("_text <> ''"), lambda w: w, words), joined, pairs)
+
+
 def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that lambdas read: behind a generator it is computed once for a row, and not again for each element."""
     return rows.withColumn(name, F.explode(F.array(value)))
@@ -83,21 +115,8 @@ def _windows(rows: DataFrame, known: Sequence[tuple[str, list[str]]], threshold:
     known = [(name, grams) for name, grams in known if " " in grams[0]]
     if not known:
         return rows.filter("false").select("_id", F.lit(0).alias("line_no"), F.lit("").alias("licence"), F.lit(0.0).alias("dice"))
-    # which texts may hold a window: a lambda binds its value, and a generator keeps it from being computed twice
-    rare = [_rare_grams(grams, threshold) for _, grams in known]
-    joined = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i.cast("int")), F.element_at(w, (i + 1).cast("int"))))
-    shared = lambda w: F.when(F.size(w) > 1, F.array_intersect(joined(w), _strings(sorted({g for taken, _ in rare for g in taken}))))
-
-    def possible(held: Column) -> Column:
-        some = F.lit(False)
-        for taken, least in rare:
-            some = some | ((F.size(held) >= least) & (F.size(F.array_intersect(held, _strings(taken))) >= least))
-        return some
-    probe = F.transform(F.transform(F.array(normal_words(F.col("_text"))), shared), possible)
-    shortest = min(_least_shared(len(grams), threshold) for _, grams in known)
-    rows = rows.filter(F.length("_text") >= 2 * shortest + 1).select("_id", "_text", F.explode(probe).alias("_some")).filter("_some")
     words_of = lambda line, i: F.transform(normal_words(line), lambda w: F.struct(w.alias("w"), (i + 1).alias("line")))
-    rows = rows.withColumn("_lines", F.split("_text", "\n")).withColumn("_w", F.flatten(F.transform("_lines", words_of)))
+    rows = rows.withColumn("_lines", F.split("_text", "\n")).withColumn("_w", F.flatten(F.transform("_lines", words_of))).filter(F.size("_w") > 1)
     word = lambda i: F.element_at("_w", i.cast("int"))
     rows = rows.withColumn("_pairs", F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.struct(
         F.concat_ws(" ", word(i)["w"], word(i + 1)["w"]).alias("p"), word(i)["line"].alias("a"), word(i + 1)["line"].alias("b"))))
@@ -182,7 +201,8 @@ def scan_licences(docs: DataFrame, templates: Mapping[str, str] | None = None, t
     word has no windows. Without ``templates``, those of ``TEMPLATES`` and the full licence texts are taken.
 
     Both sides are normalised to words; a template is a candidate only if the sizes of the bigram sets allow the threshold. Cheap word
-    counts go first, so bigrams are made only of units that some template may fit. The templates are an argument of at
+    counts go first, so bigrams are made only of units that some template may fit. Every text is read once, to find those that may state a
+    licence at all; only they are written for the comparison of their units and windows. The templates are an argument of at
     most ``MAX_TEMPLATES`` entries, held in the plan; nothing is shuffled.
 
     Null and empty texts state nothing. A unit may state several licences. Null ids and repeated rows are scanned as they
@@ -195,6 +215,7 @@ def scan_licences(docs: DataFrame, templates: Mapping[str, str] | None = None, t
     listed = spark.createDataFrame(sorted(known_as), "licence string, template string")
     known = [(r["licence"], r["b"]) for r in listed.select("licence", bigrams_of(F.col("template")).alias("b")).collect() if r["b"]]
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = written_table(_possible(rows, known, threshold), "licence-texts") if known else rows
     lines = F.split(F.col("_text"), "\n")
     numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("unit")))
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("line_no"), F.col("_text").alias("unit")))).otherwise(F.array().cast("array<struct<line_no:int,unit:string>>"))
