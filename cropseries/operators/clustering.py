@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.window import Window
 
 from ..relational import first_k_per_key, join_null_safe, seeded_hash
@@ -49,15 +49,21 @@ def token_clusters(features: DataFrame, k: int, seed: int = 42, column: str = "f
     return labelled.withColumn("cluster_id", F.col("_c").cast("int")).drop("_v", "_c")
 
 
+def _distance2(a: Column | str, b: Column | str) -> Column:
+    """Squared distance of two arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+
+
 def token_clusters_by_tile(features: DataFrame, tile: Sequence[str], ids: Sequence[str], k: int, size: int, seed: int = 42,
-                           column: str = "features", max_iter: int = 20) -> DataFrame:
+                           column: str = "features", max_iter: int = 20, tolerance: float = 0.0) -> DataFrame:
     """Every tile's own k-means, all tiles at once: ``cluster_id`` per row.
 
     The first centres of a tile are its ``k`` rows of smallest seeded hash of ``ids`` (fewer where a tile has fewer rows).
-    Then, as often as ``max_iter`` or until no centre moves, each row goes to the nearest centre of its tile, the lowest
+    Then, as often as ``max_iter`` or until no centre moves by more than ``tolerance``, each row goes to the nearest centre of its tile, the lowest
     id on ties, and centres become the means of their rows; a cluster left without rows keeps its centre. Assignment is a
     join with one small row per tile, the means are combining aggregates by tile and cluster, and the centres of each
-    round are a written table, so no tile has to fit into one task. ``size``: numbers in a feature array.
+    round are a written table, so no tile has to fit into one task. Moved centres are counted as they are written, so a round is one
+    job. ``size``: numbers in a feature array.
     """
     tile, ids = list(tile), list(ids)
     points = written_table(features.withColumn("_p", F.transform(column, lambda v: v.cast("double"))), "points")  # read in every round
@@ -66,21 +72,20 @@ def token_clusters_by_tile(features: DataFrame, tile: Sequence[str], ids: Sequen
     numbered = starts.withColumn("cluster_id", F.row_number().over(Window.partitionBy(*tile).orderBy(*order)) - 1)  # k rows a tile
 
     def packed(centres: DataFrame) -> DataFrame:
-        return centres.groupBy(*tile).agg(F.sort_array(F.collect_list(F.struct("cluster_id", F.col("_p").alias("c")))).alias("_centres"),
-                                          F.bool_or("_moved").alias("_moved"))
+        return centres.groupBy(*tile).agg(F.sort_array(F.collect_list(F.struct("cluster_id", F.col("_p").alias("c")))).alias("_centres"))
 
     def assigned(centres: DataFrame) -> DataFrame:
-        distance = lambda c: F.aggregate(F.zip_with("_p", c["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        best = F.array_min(F.transform("_centres", lambda c: F.struct(distance(c).alias("d"), c["cluster_id"].alias("cluster_id"))))
-        return join_null_safe(points, centres.drop("_moved"), tile).withColumn("cluster_id", best["cluster_id"])
+        best = F.array_min(F.transform("_centres", lambda c: F.struct(_distance2("_p", c["c"]).alias("d"), c["cluster_id"].alias("cluster_id"))))
+        return join_null_safe(points, centres, tile).withColumn("cluster_id", best["cluster_id"])
 
-    current = written_table(packed(numbered.select(*tile, "cluster_id", "_p", F.lit(True).alias("_moved"))), "centres")
+    current = written_table(packed(numbered.select(*tile, "cluster_id", "_p")), "centres")
     for _ in range(max_iter):
         means = assigned(current).groupBy(*tile, "cluster_id").agg(F.array(*[F.avg(F.col("_p")[i]) for i in range(size)]).alias("_p"))
         old = current.select(*tile, F.inline(F.transform("_centres", lambda c: F.struct(c["cluster_id"].alias("cluster_id"), c["c"].alias("_old")))))
         merged = join_null_safe(old, means, [*tile, "cluster_id"], "left").select(
-            *tile, "cluster_id", F.coalesce("_p", "_old").alias("_p"), F.coalesce(F.col("_p") != F.col("_old"), F.lit(False)).alias("_moved"))
-        current = written_table(packed(merged), "centres")
-        if current.filter("_moved").isEmpty():
+            *tile, "cluster_id", F.coalesce("_p", "_old").alias("_p"), (_distance2("_p", "_old") > tolerance * tolerance).alias("_moved"))
+        moved = Observation()
+        current = written_table(packed(merged.observe(moved, F.count(F.when(F.col("_moved"), 1)).alias("n"))), "centres")
+        if not moved.get["n"]:
             break
     return assigned(current).drop("_p", "_centres")

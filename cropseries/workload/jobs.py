@@ -38,7 +38,7 @@ def _clusters(t):
     """Clusters of the pixels from their mean band values."""
     means = t.px_series.groupBy(*IMAGE).agg(*[F.avg(b).alias(b) for b in ("blue", "green", "red", "nir")])
     features = means.select(*IMAGE, F.array("blue", "green", "red", "nir").alias("features"))
-    return clustering.token_clusters_by_tile(features, ["tile_id"], IMAGE, 8, 4).select(*IMAGE, "cluster_id")
+    return clustering.token_clusters_by_tile(features, ["tile_id"], IMAGE, 8, 4, tolerance=1e-4).select(*IMAGE, "cluster_id")
 
 
 @query("phenology_clusters")
@@ -65,7 +65,7 @@ _WEIGHTS = "[" + ", ".join("[" + ", ".join(f"{w!r}" for w in map(float, row)) +
 @query("token_clusters_by_tile")
 def token_clusters_by_tile(t):
     reduced = clustering.token_reduce(t.tokens.select("vec_id", "tile_id", "embedding"))
-    return clustering.token_clusters_by_tile(reduced, ["tile_id"], ["vec_id"], 6, 2).select("vec_id", "tile_id", "cluster_id")
+    return clustering.token_clusters_by_tile(reduced, ["tile_id"], ["vec_id"], 6, 2, tolerance=1e-4).select("vec_id", "tile_id", "cluster_id")
 
 
 @query("score_batches", f"""
