@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.quadtree import morton
+
 
 def write_raster(df: DataFrame, path: str, tile: str = "tile_id", files_per_tile: int = 1, mode: str = "append") -> None:
     """Compressed Parquet partitioned by tile; sorted by row so that clips prune row groups.
@@ -17,6 +19,21 @@ def write_raster(df: DataFrame, path: str, tile: str = "tile_id", files_per_tile
      .write.mode(mode).option("compression", "zstd").partitionBy(tile).parquet(path))
 
 
+def write_raster_by_place(df: DataFrame, path: str, tile: str = "tile_id", files: int | None = None, group_bytes: int = 1 << 20, mode: str = "append") -> None:
+    """Parquet partitioned by tile, its rows along a space-filling curve of (y, x), so that a box in x *and* y prunes files and row groups.
+
+    Pixels near each other in both directions have near Morton codes. The rows are range-partitioned by tile and code into ``files`` parts
+    (by default the shuffle partitions), so a tile of any size is spread over many tasks, and sorted within; row groups of about
+    ``group_bytes`` then cover small squares, which the scan tells by their least and greatest x and y. Coordinates are whole
+    numbers; pixels with none or negative ones come first and are kept.
+    """
+    code = F.coalesce(F.when((F.col("x") >= 0) & (F.col("y") >= 0), morton(F.col("x"), F.col("y"))), F.lit(-1))
+    order = [F.col(tile), code, F.col("y"), F.col("x")]
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order).write.mode(mode).option("compression", "zstd")
+     .option("parquet.block.size", str(group_bytes)).option("parquet.block.size.row.check.min", "100").partitionBy(tile).parquet(path))
+
+
 def read_raster(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Read a raster table; with a schema, its column order is restored (partition columns otherwise come last)."""
     if schema is None:

@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import augment, clustering, matching, phenology, scoring, splits
-from ..plans import calendar_maps
+from ..plans import calendar_maps, tile_store
+from ..session import scratch_path
 from .catalog import references
 from .composites import smooth_curves
 from .registry import day, drawn, drawn_unit, hash_rank, query, r6
@@ -188,3 +189,20 @@ def cutmix(t):
     patches = t.px_series.groupBy("pixel_id", F.col("fmask").alias("y"), F.month("obs_date").alias("x")).agg(
         F.max("nir").alias("nir"), F.min("green").alias("green"))
     return augment.cutmix(patches, "pixel_id", ["nir", "green"], seed=42, height=65, width=13)
+
+
+@query("tile_store", f"""
+    SELECT l_suppkey AS tile_id, CASE WHEN l_suppkey = 7 THEN 'failed' ELSE 'done' END AS status, CAST(CASE WHEN l_suppkey = 7 THEN 0 ELSE COUNT(DISTINCT l_shipdate) END AS BIGINT) AS n_rows,
+           CASE WHEN l_suppkey <> 7 THEN {r6('SUM(l_tax)', 'total').removesuffix(' AS total')} END AS total FROM lineitem GROUP BY l_suppkey""")
+def store_of_tiles(t):
+    """The daily sums of each supplier as a tile; one tile cannot be read, and a second run finds nothing else to do."""
+    path = scratch_path(t.spark, "tile-store")
+    tiles = t.lineitem.select(F.col("l_suppkey").alias("tile_id")).distinct()
+
+    def process(chosen):
+        daily = t.lineitem.withColumnRenamed("l_suppkey", "tile_id").join(chosen, "tile_id", "left_semi").groupBy("tile_id", "l_shipdate").agg(F.sum("l_tax").alias("tax"))
+        return daily.withColumn("tax", F.when(F.col("tile_id") == 7, F.raise_error(F.lit("no such tile")).cast("double")).otherwise(F.col("tax")))
+    for _ in range(2):
+        done = tile_store.run_tiles(tiles, process, path, batch=2000, retry_failed=False)
+    totals = tile_store.finished(t.spark, path).groupBy("tile_id").agg(F.sum("tax").alias("total"))
+    return done.select("tile_id", "status", "n_rows").join(totals.withColumn("tile_id", F.col("tile_id").cast("bigint")), "tile_id", "left")
