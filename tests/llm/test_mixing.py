@@ -60,6 +60,19 @@ def test_mixed_rows_repeat(documents):
     assert max(taken.values()) == 3
 
 
+def test_repeated_ids_and_clashing_columns(documents):
+    from pyspark.sql import functions as F
+    data = [(i // 2, f"w{i % 2} " * 10, "en", "small" if i < 40 else "large") for i in range(400)]
+    docs = documents(data).withColumns({"_copies": F.lit("c"), "mix_row": F.lit("m"), "row": F.lit("r"), "mix_copy": F.lit(0)})
+    out = mixed_documents(docs)
+    got = out.collect()
+    assert out.columns == docs.columns and {(r._copies, r.mix_row, r.row) for r in got} == {("c", "m", "r")}
+    assert 10 * len(got) == sum(r.taken for r in mix_sources(docs).collect()) == 4000
+    assert 10 * sum(r.source == "small" for r in got) == 1140  # two sevenths of 4000, in whole documents
+    equal = documents([(1, "same words", "en", "a")] * 30 + [(2, "other text here", "en", "b")] * 30)
+    assert sum(len(r.text.split()) for r in mixed_documents(equal).collect()) == sum(r.taken for r in mix_sources(equal).collect())
+
+
 def test_empty_and_wordless(documents):
     assert mix_sources(documents([])).count() == 0
     assert [r.taken for r in mix_sources(documents([(1, None), (2, " ")])).collect()] == [0, 0]
