@@ -19,6 +19,8 @@ RADIUS = 23
 SIMILARITY = 0.75
 #: Text bytes of benchmark items that are searched for at once.
 BLOCK_BYTES = 16 << 20
+#: Pairs of windows and items that are compared at once.
+PAIRS = 1 << 16
 
 
 def bit_signs(grams: np.ndarray) -> np.ndarray:
@@ -48,10 +50,15 @@ class ItemIndex:
         self.counts = [np.unique(grams[a:b], return_counts=True) for a, b in zip(ends[:-1], ends[1:])]
         owners = np.repeat(np.arange(len(items)), np.diff(ends))
         self.vocabulary, place = np.unique(grams, return_inverse=True)
-        #: word counts of the items that hold a shingle
-        self.sizes_of: list[set[int]] = [set() for _ in self.vocabulary]
-        for p, o in zip(place.tolist(), owners.tolist()):
-            self.sizes_of[p].add(int(self.n_words[o]))
+        def listed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The distinct values of each shingle, one shingle after another, and where each shingle's begin."""
+            room = int(values.max(initial=0)) + 1
+            both = np.unique(place.astype(np.int64) * room + values)
+            return both % room, np.searchsorted(both // room, np.arange(len(self.vocabulary) + 1))
+        #: word counts of the items that hold a shingle, and those items
+        self.sizes, self.sizes_at = listed(self.n_words[owners])
+        self.holders, self.holders_at = listed(owners)
+        self.n_grams = np.diff(ends)
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         edges = np.linspace(0, BITS, min(radius + 1, BITS) + 1).astype(int)
@@ -73,13 +80,25 @@ class ItemIndex:
             self.tables[size] = tables
         self.short_sizes = sorted({int(n) for n in self.n_words if 0 < n < SHINGLE})
 
-    def near(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) index pairs of items of ``size`` words within the radius of the windows' fingerprints."""
+    def possible(self, places: np.ndarray, size: int, span: int) -> np.ndarray:
+        """Whether each item can reach the similarity in a window of ``span`` shingles among text that holds the shingles ``places``.
+
+        Each shared shingle of a window is one of these that the item holds, so an item with fewer of them than the sizes ask for
+        cannot. Only items of ``size`` words count."""
+        shared = np.zeros(len(self.ids), dtype=np.int64)
+        for p, n in zip(*(v.tolist() for v in np.unique(places, return_counts=True))):
+            shared[self.holders[self.holders_at[p]:self.holders_at[p + 1]]] += n
+        need = self.similarity * (span + self.n_grams) / (1 + self.similarity) - 1e-9
+        return (shared >= need) & (shared > 0) & (self.n_words == size)
+
+    def near(self, prints: np.ndarray, size: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) index pairs of the allowed items of ``size`` words within the radius of the windows' fingerprints."""
         found = []
         for (shift, mask), cells in zip(self.blocks, self.tables[size]):
             values = (prints >> shift) & mask
             for value, members in cells.items():
-                at = np.flatnonzero(values == np.uint64(value))
+                members = members[allowed[members]]
+                at = np.flatnonzero(values == np.uint64(value)) if len(members) else members
                 if len(at):
                     found.append((np.repeat(at, len(members)) * len(self.ids) + np.tile(members, len(at))))
         if not found:
@@ -108,9 +127,11 @@ class ItemIndex:
         place[place == len(self.vocabulary)] = 0
         sure = self.vocabulary[place] == grams[at]
         at, place = at[sure], place[sure]
+        place_at = np.full(len(grams), -1, dtype=np.int64)
+        place_at[at] = place
         hits: dict[int, list[int]] = defaultdict(list)
         for a, p in zip(at.tolist(), place.tolist()):
-            for size in self.sizes_of[p]:
+            for size in self.sizes[self.sizes_at[p]:self.sizes_at[p + 1]].tolist():
                 hits[size].append(a)
         for size, positions in hits.items():
             if n_words < SHINGLE and size != n_words:
@@ -120,14 +141,19 @@ class ItemIndex:
             # runs of starts share their votes; each run is summed once
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > span) + 1):
                 for cut in range(0, len(run), 4096):
-                    self._score(grams, run[cut:cut + 4096], span, size, best)
+                    part = run[cut:cut + 4096]
+                    around = place_at[part[0]:part[-1] + span]
+                    allowed = self.possible(around[around >= 0], size, span)
+                    step = max(PAIRS // max(int(allowed.sum()), 1), 1)
+                    for k in range(0, len(part) if allowed.any() else 0, step):
+                        self._score(grams, part[k:k + step], span, size, allowed, best)
         return best
 
-    def _score(self, grams, starts, span, size, best) -> None:
+    def _score(self, grams, starts, span, size, allowed, best) -> None:
         lo, hi = int(starts[0]), int(starts[-1]) + span
         sums = np.concatenate((np.zeros((1, BITS), dtype=np.int32), np.cumsum(bit_signs(grams[lo:hi]), axis=0, dtype=np.int32)))
         prints = fingerprints(sums[starts - lo + span] - sums[starts - lo])
-        w, k = self.near(prints, size)
+        w, k = self.near(prints, size, allowed)
         for wi, ki in zip(w.tolist(), k.tolist()):
             first = int(starts[wi])
             value = self._similarity(grams[first:first + span], ki)
@@ -147,6 +173,17 @@ class ItemIndex:
         return shared / (len(window) + int(counts.sum()) - shared)
 
 
+_last: tuple[list | None, tuple, ItemIndex | None] = (None, (), None)
+
+
+def index_of(items: list, radius: int, similarity: float) -> ItemIndex:
+    """The index of a block of items, built once by a worker as long as its tasks get the same broadcast."""
+    global _last
+    if _last[0] is not items or _last[1] != (radius, similarity):
+        _last = (items, (radius, similarity), ItemIndex(items, radius, similarity))
+    return _last[2]
+
+
 def _short_items(index: ItemIndex, hashes: np.ndarray) -> dict[int, tuple[float, int, int]]:
     """Items under five words: their one shingle is the whole sequence, looked for among runs of as many words."""
     best: dict[int, tuple[float, int, int]] = {}
@@ -187,10 +224,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """One row per document and benchmark item found in it: id, item_id, similarity, first_word, n_words, hamming.
 
     Windows as long as an item slide over the whole text, and a text shorter than the item is one window. Windows that
-    hold none of the items' shingles have similarity 0 and are passed over; each of the others gets a SimHash fingerprint
-    of its five-word shingles, each weighted by its number in the window. Items within ``radius`` bits, found by Hamming
-    blocks, are candidates; those whose weighted Jaccard similarity reaches ``similarity`` are reported with their best
-    window, the first of equals. Under five words, the whole sequence is the shingle.
+    hold none of the items' shingles have similarity 0 and are passed over, and so are items that hold too few of the shingles around
+    to reach the similarity; each of the other windows gets a SimHash fingerprint of its five-word shingles, each weighted by its
+    number in the window. Items within ``radius`` bits, found by Hamming blocks, are candidates; those whose weighted Jaccard
+    similarity reaches ``similarity`` are reported with their best window, the first of equals. Under five words, the whole
+    sequence is the shingle.
 
     The items are searched in blocks of bounded size, one pass over the documents for each; nothing is shuffled. Null and
     empty texts, items and tables find nothing; a null id is reported as it is; repeated rows are reported each.
@@ -201,7 +239,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         shared = spark.sparkContext.broadcast(items)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, radius, similarity)
+            index = index_of(shared.value, radius, similarity)
             for batch in batches:
                 for part in text_slices(batch, "text"):
                     hits = []
@@ -228,7 +266,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         @F.pandas_udf("int")
         def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index = ItemIndex(shared.value, radius, similarity)
+            index = index_of(shared.value, radius, similarity)
             for texts in batches:
                 batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
                 yield pd.Series([len(hit) for part in text_slices(batch, "text") for hit in search_texts(index, texts_of(part))], dtype="int32")

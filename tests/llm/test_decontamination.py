@@ -92,6 +92,25 @@ def test_hamming_blocks_find_all_within_the_radius():
     rnd = random.Random(1)
     index = ItemIndex([(i, " ".join(f"w{rnd.randrange(900)}" for _ in range(20))) for i in range(200)], radius=9)
     prints = np.array([rnd.getrandbits(64) for _ in range(50)] + [int(p) ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 12))) for p in index.prints], dtype=np.uint64)
-    w, k = index.near(prints, 20)
+    w, k = index.near(prints, 20, np.ones(200, dtype=bool))
     want = {(i, j) for i in range(len(prints)) for j in range(200) if (int(prints[i]) ^ int(index.prints[j])).bit_count() <= 9}
     assert set(zip(w.tolist(), k.tolist())) == want and len(want) > 100
+
+
+def test_many_items_of_one_size_take_little_memory():
+    import tracemalloc
+    from cropseries.llm.decontamination import search_texts
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    # all items begin alike, so a text with that beginning holds a shingle of each
+    items = [(i, "all of them begin like this " + " ".join(rnd.choices(words, k=20))) for i in range(20_000)]
+    text = " ".join(rnd.choices(words, k=3000)) + " all of them begin like this " * 40 + " ".join([items[77][1], *rnd.choices(words, k=3000), items[13_000][1]])
+    tracemalloc.start()
+    index = ItemIndex(items)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    found = next(search_texts(index, [text.encode()]))
+    assert {items[k][0]: round(v, 6) for k, (v, _, _) in found.items()} == {77: 1.0, 13_000: 1.0}
+    assert tracemalloc.get_traced_memory()[1] - before < 60 << 20
+    tracemalloc.stop()
