@@ -66,3 +66,18 @@ def test_one_class_or_nothing(pages):
 def test_no_python_in_the_plan(pages):
     plan = filter_urls(pages(URLS))._jdf.queryExecution().executedPlan().toString()
     assert not any(node in plan for node in ("Python", "Arrow", "Pandas"))
+
+
+def test_held_back_labelled_urls(spark):
+    """URLs that a rule decides, half of them held back from the trees: how often the trees agree with the rules."""
+    from pyspark.sql import functions as F
+    from cropseries.llm import url_filter as u
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    split = pages.withColumns({"host": u.host_of(F.col("url")), "path": u.path_of(F.col("url"))})
+    hit = u.rule_matches(u.RULES, F.col("host"), F.col("path"))
+    labelled = u.lexical_features(split.withColumn("hit", hit).filter("hit is not null").withColumn("verdict", F.col("hit.verdict")).drop("hit"), "url", "host", "path")
+    held = F.pmod(F.xxhash64("url"), F.lit(2)) == 1
+    judged = u.train_and_judge(labelled.filter(~held), labelled.filter(held), "url", 200_000, 20, 4, 42)
+    right, block, n = judged.agg(F.avg((F.col("guess") == F.col("verdict")).cast("double")), F.avg((F.col("verdict") == "block").cast("double")), F.count("*")).first()
+    print(f"held back {n}, right {right:.4f}, most frequent verdict {max(block, 1 - block):.4f}")
+    assert n > 100 and right > max(block, 1 - block)
