@@ -199,7 +199,8 @@ def daily_mean(df: DataFrame, keys: Sequence[str], bands: Sequence[str], date: s
 def annual_median(df: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
     """Median over time of the non-zero values, missing -> 0.
 
-    Exact; reflectance is stored in steps of 1e-4, so the value counts ``median`` keeps stay bounded.
+    Exact; a key's distinct values are held with their counts while its median is found, at most one per observation. Reduce with
+    ``daily_mean`` first where a key has very many; ``relational.exact_median`` takes groups of any size.
     """
     return df.groupBy(*keys).agg(*[F.coalesce(F.median(F.nullif(F.col(b), F.lit(0.0))), F.lit(0.0)).alias(b)
                                    for b in bands])

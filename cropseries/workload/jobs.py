@@ -81,6 +81,12 @@ def score_batches(t):
         .select("vec_id", "class", "error", F.array_max("scores").alias("top_score"))
 
 
+@query("token_clusters_restarted")
+def token_clusters_restarted(t):
+    reduced = clustering.token_reduce(t.tokens.select("vec_id", "tile_id", "embedding"))
+    return clustering.token_clusters_restarted(reduced, ["tile_id"], ["vec_id"], 6, 2, tolerance=1e-4).select("vec_id", "tile_id", "cluster_id", "inertia")
+
+
 @query("split_by_tile", f"""
     WITH t AS (SELECT DISTINCT l_suppkey AS tile_id FROM lineitem),
          r AS (SELECT tile_id, {hash_rank(123, 'tile_id')} AS k, COUNT(*) OVER () AS n FROM t)

@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cropseries import relational as rel
-from cropseries.operators import augment, matching, metrics, phenology, quality, splits, timegrid
+from cropseries.operators import augment, clustering, matching, metrics, phenology, quality, splits, timegrid
 from cropseries.plans import calendar_maps
 from cropseries.sources import granules
 
@@ -151,3 +152,24 @@ def test_smoothing_of_missing_and_unequal_lists(spark):
     assert len(got[0]) == 4 and got[1] is None and got[2] is None and got[3] == []
     with pytest.raises(Exception, match="differ in length"):
         spark.createDataFrame([([0.0, 1.0], [0.1])], df.schema).select(smoothing.kernel_regression("d", "v")).collect()
+
+
+def test_restarts_are_never_worse(spark):
+    rng = np.random.default_rng(4)
+    centres = np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 10.0], [10.0, 10.0], [5.0, 30.0]])
+    data = [(t, i, (centres[i % 5] + rng.normal(0, 0.3, 2)).tolist()) for t in ("a", None, "b") for i in range(60)] + [("one", 0, [1.0, 2.0]), ("one", 1, [1.0, 2.0])]
+    df = spark.createDataFrame(data, "tile string, k int, features array<double>")
+
+    def inertia(out):
+        sums = {}
+        for t in {d[0] for d in data}:
+            rows = [r for r in out if r.tile == t]
+            for c in {r.cluster_id for r in rows}:
+                p = np.array([r.features for r in rows if r.cluster_id == c])
+                sums[t] = sums.get(t, 0) + float(((p - p.mean(axis=0)) ** 2).sum())
+        return sums
+    plain = inertia(clustering.token_clusters_by_tile(df, ["tile"], ["k"], 5, 2).collect())
+    out = clustering.token_clusters_restarted(df, ["tile"], ["k"], 5, 2, runs=4).collect()
+    best = inertia(out)
+    assert len(out) == len(data) and all(best[t] <= plain[t] + 1e-9 for t in plain)
+    assert all(abs(r.inertia - best[r.tile]) < 1e-6 for r in out) and best["a"] < 60 * 2 * 0.3 ** 2 * 2 and best["one"] == 0
