@@ -203,12 +203,13 @@ def cutmix(t):
 def store_of_tiles(t):
     """The daily sums of each supplier as a tile; one tile cannot be read, and a second run finds nothing else to do."""
     path = scratch_path(t.spark, "tile-store")
-    tiles = t.lineitem.select(F.col("l_suppkey").alias("tile_id")).distinct()
+    source = t.lineitem.select(F.col("l_suppkey").alias("tile_id"), "l_shipdate", "l_tax")
+    tiles = source.select("tile_id").distinct()
 
-    def process(chosen):
-        daily = t.lineitem.withColumnRenamed("l_suppkey", "tile_id").join(chosen, "tile_id", "left_semi").groupBy("tile_id", "l_shipdate").agg(F.sum("l_tax").alias("tax"))
+    def process(chosen, rows):
+        daily = rows.join(chosen, "tile_id", "left_semi").groupBy("tile_id", "l_shipdate").agg(F.sum("l_tax").alias("tax"))
         return daily.withColumn("tax", F.when(F.col("tile_id") == 7, F.raise_error(F.lit("no such tile")).cast("double")).otherwise(F.col("tax")))
     for _ in range(2):
-        done = tile_store.run_tiles(tiles, process, path, batch=2000, retry_failed=False)
+        done = tile_store.run_tiles(tiles, process, path, batch=2000, retry_failed=False, source=source)
     totals = tile_store.finished(t.spark, path).groupBy("tile_id").agg(F.sum("tax").alias("total"))
     return done.select("tile_id", "status", "n_rows").join(totals.withColumn("tile_id", F.col("tile_id").cast("bigint")), "tile_id", "left")

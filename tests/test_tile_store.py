@@ -45,6 +45,21 @@ def test_what_was_not_committed_does_not_count_and_is_overwritten(spark, tmp_pat
     assert rows(tile_store.finished(spark, path), "tile_id", "x", "v") == [("a", 1, 10), ("bb", 1, 10), ("bb", 2, 20)]
 
 
+def test_folders_grow_with_the_batches_and_a_batch_reads_its_own_rows(spark, tmp_path, rows):
+    path, n = str(tmp_path / "store"), 40
+    source = spark.range(n * 3).select((F.col("id") % n).alias("tile_id"), "id").union(spark.sql("SELECT CAST(NULL AS BIGINT), 7L"))
+    met = []
+
+    def process(tiles, its):
+        met.append((tiles.count(), its.count()))
+        return its.withColumn("id", F.when(F.col("tile_id") == 5, F.raise_error(F.lit("bad")).cast("bigint")).otherwise(F.col("id")))
+    done = tile_store.run_tiles(spark.range(n + 1).withColumnRenamed("id", "tile_id"), process, path, batch=10, source=source)  # the last tile has no rows
+    assert rows(done, "tile_id", "status", "n_rows") == [(i, "failed" if i == 5 else "done", 0 if i in (5, n) else 3) for i in range(n + 1)]
+    assert rows(tile_store.finished(spark, path), "tile_id", "id") == sorted((i % n, i) for i in range(n * 3) if i % n != 5)
+    assert all(read <= 3 * tiles for tiles, read in met) and len(met) < 20
+    assert len(glob.glob(f"{path}/data/*")) < 20
+
+
 def test_no_tiles(spark, tmp_path):
     assert tile_store.run_tiles(spark.createDataFrame([], "tile_id string"), work([]), str(tmp_path / "s")).count() == 0
 
