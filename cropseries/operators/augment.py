@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..relational import seeded_hash, unit_hash, with_group_stats
+from ..relational import join_null_safe, seeded_hash, unit_hash, with_group_stats
 
 
 def flip(df: DataFrame, code: int | Column, height: int, width: int) -> DataFrame:
@@ -112,13 +112,15 @@ def mask_blocks(df: DataFrame, step_ids: Sequence[str], bands: Sequence[str], he
                 max_share: float = 0.15, n_blocks: int = 4) -> DataFrame:
     """Zero random rectangles of each time step.
 
-    A row derives its step's rectangles from the hashed step key, so no rectangle table has to be joined.
+    The rectangles are drawn once for each step and joined to its pixels, steps with a NULL key included: a draw costs far more than
+    a row's part of the join. ``df`` is read twice, so store it first where it is expensive to compute.
     """
     hit = F.lit(False)
     for i in range(n_blocks):
         dy, dx = F.col("y") - F.col(f"_y1_{i}"), F.col("x") - F.col(f"_x1_{i}")
         hit = hit | F.coalesce((dy >= 0) & (dy < F.col(f"_h_{i}")) & (dx >= 0) & (dx < F.col(f"_w_{i}")), F.lit(False))
-    drawn = block_rectangles(df, step_ids, height, width, seed, max_share, n_blocks).withColumn("_hit", hit)
+    steps = block_rectangles(df.select(*step_ids).distinct(), step_ids, height, width, seed, max_share, n_blocks)
+    drawn = join_null_safe(df, steps, step_ids).withColumn("_hit", hit)
     return drawn.select(*[(F.when(F.col("_hit"), F.lit(0.0)).otherwise(F.col(c)).alias(c) if c in bands else F.col(c))
                           for c in df.columns])
 
