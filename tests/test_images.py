@@ -200,3 +200,15 @@ def test_align_nearest_matches_loop(spark):
                         want.append((k, row, col, v))
     assert (set(got) - set(want), set(want) - set(got), len(got)) == (set(), set(), len(want)) and len(want) > 300
     assert raster.align_nearest(df.limit(0), ["tile_id"], ["v"], 0.0, 0.0, 1.0, 4, 4).count() == 0
+
+
+def test_rectangles_are_drawn_once_for_each_step(spark, rows, monkeypatch):
+    df = spark.range(16 * 16 * 6).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("patch"), (F.floor("id") % 2).alias("t"), F.lit(1.0).alias("v"),
+                                         F.floor(F.col("id") / 6 % 16).cast("int").alias("y"), F.floor(F.col("id") / 96).cast("int").alias("x"))
+    draw, met = augment.block_rectangles, []
+    each = draw(df, ["patch", "t"], 16, 16, 3, 0.15, 2)
+    hit = " OR ".join(f"COALESCE(y >= _y1_{i} AND y < _y1_{i} + _h_{i} AND x >= _x1_{i} AND x < _x1_{i} + _w_{i}, false)" for i in range(2))
+    want = rows(each.withColumn("v", F.expr(f"CASE WHEN {hit} THEN 0.0 ELSE v END")), *df.columns)
+    monkeypatch.setattr(augment, "block_rectangles", lambda steps, *rest: met.append(steps.count()) or draw(steps, *rest))
+    assert rows(augment.mask_blocks(df, ["patch", "t"], ["v"], 16, 16, 3, n_blocks=2), *df.columns) == want
+    assert met == [6] and any(r[2] == 0.0 for r in want)
