@@ -120,7 +120,10 @@ def clip_polygons(df: DataFrame, polygons: DataFrame, height: int, width: int, t
     keyed = cover.withColumn("_cell", F.explode(F.sequence(F.shiftright("lo", 2 * b), F.shiftright(F.col("hi") - 1, 2 * b))))
     place = lambda v, low: F.floor((F.col(v) - low) / cell)
     rows = df.withColumns({"_i": place(x, x0), "_j": place(y, y0)}).filter(F.col("_i").between(0, width - 1) & F.col("_j").between(0, height - 1))
-    rows = rows.withColumn("_code", morton(F.col("_i"), F.col("_j"))).withColumn("_cell", F.shiftright("_code", 2 * b))
+    # the code comes out of a generator: the join's tests for missing values would otherwise move below the steps that make ``df`` and
+    # compute the long expression of the code again for every row that they read
+    rows = rows.withColumn("_morton", morton(F.col("_i"), F.col("_j"))).withColumn("_code", F.explode(F.array("_morton")))
+    rows = rows.withColumn("_cell", F.shiftright("_code", 2 * b))
     keyed = keyed.withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
     joined = join_lookup(rows, keyed, ["_cell"]).filter((F.col("_code") >= F.col("_lo")) & (F.col("_code") < F.col("_hi")))
     return joined.select(*df.columns, "polygon_id")

@@ -80,3 +80,13 @@ def test_morton_codes(spark):
 def test_no_polygons(spark):
     pixels = spark.createDataFrame([(1, 1)], "x int, y int")
     assert quadtree.clip_polygons(pixels, spark.createDataFrame([], RINGS), 4, 4).count() == 0
+
+
+def test_codes_are_not_computed_for_the_rows_behind_the_pixels(spark):
+    raw = spark.range(200).select((F.col("id") % 5).cast("int").alias("x"), (F.col("id") % 4).cast("int").alias("y"))
+    pixels = raw.groupBy("x", "y").agg(F.count("*").alias("n"))
+    square = [[(0.6, 0.6), (2.4, 0.6), (2.4, 2.4), (0.6, 2.4), (0.6, 0.6)]]
+    clipped = quadtree.clip_polygons(pixels, spark.createDataFrame([(1, square)], RINGS), 4, 5)
+    plan = clipped._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "shiftleft" in line]
+    assert sorted((r.x, r.y, r.n) for r in clipped.collect()) == [(x, y, 10) for x in (1, 2) for y in (1, 2)]
