@@ -16,7 +16,7 @@ from ..session import written_table
 #: References of a block, and pivots of a large library.
 BLOCK, MAX_PIVOTS = 512, 64
 #: References that are broadcast at once, and cells of the warping tables worked on at once.
-LIBRARY, DTW_CELLS = 4096, 1 << 21
+LIBRARY, DTW_CELLS = 4096, 1 << 18
 
 
 def _reference_blocks(references: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, int]:
@@ -139,18 +139,20 @@ def _dtw(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """DTW distance of each row of ``a`` to the same row of ``b``; infinite where it exceeds that pair's ``most``.
 
     Every path crosses each row of the warping table, so a pair is given up as soon as a whole row lies above its limit."""
-    out, live = np.full(len(a), np.inf), np.arange(len(a))
-    before = np.full((len(a), b.shape[1] + 1), np.inf)
-    before[:, 0] = 0.0
-    for i in range(a.shape[1]):
+    out, live, limit = np.full(len(a), np.inf), np.arange(len(a)), most
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)  # steps first, so that a step of all pairs lies together
+    before = np.full((len(b) + 1, len(live)), np.inf)
+    before[0] = 0.0
+    for i in range(len(a)):
         here = np.full_like(before, np.inf)
-        gap = np.abs(a[live, i, None] - b[live])
-        cheapest = np.minimum(before[:, :-1], before[:, 1:])
-        for j in range(b.shape[1]):
-            here[:, j + 1] = gap[:, j] + np.minimum(cheapest[:, j], here[:, j])
-        kept = here.min(axis=1) <= most[live]
-        live, before = live[kept], here[kept]
-    found = before[:, -1]
+        gap = np.abs(a[i] - b)
+        cheapest = np.minimum(before[:-1], before[1:])
+        for j in range(len(b)):
+            here[j + 1] = gap[j] + np.minimum(cheapest[j], here[j])
+        kept, before = here.min(axis=0) <= limit, here
+        if not kept.all():
+            live, before, a, b, limit = live[kept], here[:, kept], a[:, kept], b[:, kept], limit[kept]
+    found = before[-1]
     out[live] = np.where(found <= most[live], found, np.inf)
     return out
 
