@@ -166,7 +166,8 @@ def month_window_series(df: DataFrame, keys: Sequence[str], bands: Sequence[str]
     daily = daily_sums(df, keys, bands, date)
     if pixels is not None:
         daily = daily.join(pixels, list(keys), "left_semi")
-    daily = spread(daily, *keys).withColumn("_end", end)
+    # there are no more daily sums than observations, which are counted first without reading their columns
+    daily = spread(daily, *keys, rows=df.count()).withColumn("_end", end)
     # a day lies in the windows ending in its own month and in the following ones the span can reach
     first = cal.month_floor(date)
     reach = F.array(*[cal.month_end(F.add_months(first, i)) for i in range(steps * days // 28 + 2)])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import labels, spectral
 from ..operators import bands, matching, phenology, series, timegrid
-from ..relational import join_null_safe
+from ..relational import join_null_safe, spread
 from ..session import written_table
 
 BANDS = ("blue", "red", "nir")
@@ -66,6 +66,8 @@ def _calendar_map(days: DataFrame, pixels: DataFrame, keys: Sequence[str], image
     blank = pixels.select(*keys, F.explode(F.array(*[F.lit(s) for s in labels.STAGES])).alias("stage"),
                           F.lit(None).cast("int").alias("doy"))
     stacked = join_null_safe(days, kept, [*image, "window_end"], "left_semi").select(*keys, "stage", "doy").unionByName(blank)
+    # dealt by the rows, not by their well-packed bytes, since a median sorts its task's rows
+    stacked = spread(stacked, *keys, "stage", rows=days.count())
     per_pixel = stacked.groupBy(*keys, "stage").agg(F.median(F.nullif(F.col("doy"), F.lit(0))).alias("doy"))
     snapped = phenology.suppress_rare(phenology.biweekly_snap(per_pixel), [*image, "stage"])
     return join_null_safe(snapped, crops, keys)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cropseries import relational as rel
-from cropseries.operators import splits
+from cropseries.operators import splits, timegrid
 from cropseries.sources import catalog
 
 
@@ -77,3 +77,13 @@ def test_hot_join_key_is_salted(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(parts) == 4 and max(r["count"] for r in parts) < 1200
+
+
+def test_windows_are_spread_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(rel, "SPREAD_ROWS", 10)
+    df = spark.range(200).select((F.col("id") % 40).alias("k"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 90).cast("int")).alias("obs_date"), F.lit(1.0).alias("v"))
+    windows = timegrid.month_window_series(df, ["k"], ["v"], "2020-03-31", 3)
+    plan = windows._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [k" in plan and ", 20" in next(line for line in plan.splitlines() if "RepartitionByExpression" in line)
+    assert rel.spread(df, "k", rows=95).rdd.getNumPartitions() == 10
+    assert rel.spread(df, "k").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
