@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
@@ -114,11 +115,51 @@ def _best(df: DataFrame, keys: Sequence[str], references: DataFrame, attach: Seq
         .select("*", *extra).drop("_best", "_block", "_refs")
 
 
+def _closest(series: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position and Euclidean distance of each series' closest reference, the first of equals; NaN only where nothing else is left.
+    Squares are added step by step, as :func:`curves.euclidean` does."""
+    position, distance = np.zeros(len(series), dtype=np.int32), np.empty(len(series))
+    chunk = max(1, DTW_CELLS // (4 * len(refs)))
+    for start in range(0, len(series), chunk):
+        part = series[start:start + chunk]
+        total = np.zeros((len(part), len(refs)))
+        for step in range(refs.shape[1]):
+            gap = refs[:, step] - part[:, step, None]
+            gap *= gap
+            total += gap
+        total = np.sqrt(total)
+        best = np.where(np.isnan(total), np.inf, total).argmin(axis=1)
+        position[start:start + chunk], distance[start:start + chunk] = best, total[np.arange(len(part)), best]
+    return position, distance
+
+
+def _best_as_matrix(df: DataFrame, references: DataFrame, listed: list, attach: Sequence[str], threshold: float, vi: str) -> DataFrame:
+    """The nearest of a few references, whose curves ``listed`` holds in their order, by matrices of Arrow batches."""
+    shared = df.sparkSession.sparkContext.broadcast(np.array(listed, dtype=float))
+
+    def nearest(series: pa.Array) -> pa.Array:
+        refs, found = shared.value, np.asarray(series.value_lengths()) == shared.value.shape[1]
+        position, distance = np.zeros(len(series), dtype=np.int32), np.zeros(len(series))
+        if found.any():
+            fitting = series.filter(pa.array(found)).flatten().to_numpy(zero_copy_only=False).astype(float)
+            position[found], distance[found] = _closest(fitting.reshape(-1, refs.shape[1]), refs)
+        return pa.StructArray.from_arrays([pa.array(position), pa.array(distance, mask=~found)], ["position", "distance"])
+
+    hit = F.arrow_udf(nearest, "position int, distance double").asNondeterministic()(F.col(vi))
+    numbered = references.select("ref_id", F.col("vi").alias("_ref_vi"), *[F.col(a).alias(f"_a_{a}") for a in attach if a != "ref_vi"],
+                                 (F.row_number().over(Window.orderBy("ref_id", "vi")) - 1).alias("_position"))  # at most BLOCK rows
+    # the distance may be NaN, which is larger than any threshold, or missing where a series has another length
+    found = df.withColumn("_hit", hit).select(*df.columns, _within(F.col("_hit"), lambda h: h["distance"] <= threshold))
+    joined = found.withColumn("_position", F.col("_best")["position"]).join(F.broadcast(numbered), "_position")
+    extra = [(F.col("_ref_vi") if a == "ref_vi" else F.col(f"_a_{a}")).alias(a) for a in attach]
+    return joined.select(*df.columns, "ref_id", F.col("_best")["distance"].alias("distance"), *extra)
+
+
 def nearest_reference(df: DataFrame, keys: Sequence[str], references: DataFrame, threshold: float = 0.50,
                       attach: Sequence[str] = (), vi: str = "vi") -> DataFrame:
     """Nearest reference curve by Euclidean distance, dropped above ``threshold``.
 
-    The library is counted. Up to ``BLOCK`` references are one array; of a larger library each series meets only the blocks that
+    The library is counted. Up to ``BLOCK`` references are one matrix, which Arrow batches of series meet; of a larger library each series meets only the blocks that
     distances from a few pivots cannot rule out, with the same winners. ``attach`` names reference columns to carry along (``ref_vi`` for its curve).
     """
     carried = [a for a in attach if a != "ref_vi"]
@@ -132,6 +173,11 @@ def nearest_reference(df: DataFrame, keys: Sequence[str], references: DataFrame,
     n = references.count()
     if n > BLOCK:
         return _best_by_pivots(df.filter(_usable(vi)), keys, references, attach, n, threshold, vi, score)
+    listed = [r["vi"] for r in references.select("ref_id", "vi").orderBy("ref_id", "vi").collect()]
+    whole = listed and all(r is not None and None not in r and len(r) == len(listed[0]) > 0 for r in listed)
+    if whole and not {"ref_id", "distance", *attach} & set(df.columns) and not {"ref_id", "vi"} & set(attach):
+        return _best_as_matrix(df.filter(_usable(vi)), references, listed, attach, threshold, vi)
+    # curves with gaps or of several lengths
     return _best(df.filter(_usable(vi)), keys, references, attach, score)
 
 

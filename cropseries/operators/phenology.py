@@ -128,23 +128,42 @@ SHIFT_STEP, SCALE_STEP, SHIFT_NEAR, SCALE_NEAR = 1, 0.05, 4, 0.2
 def _fit_losses(target: np.ndarray, reference: np.ndarray, p0: np.ndarray, shift: np.ndarray,
                 scale: np.ndarray) -> np.ndarray:
     """1 - Pearson r for (rows x candidates) shift/scale pairs, inside the window around the shifted stage day."""
-    p, s, k = p0[:, None, None], shift[..., None], scale[..., None]
+    p, moved, fixed = p0[:, None], shift * scale, (1 - scale) * p0[:, None]
     width = HALF_WINDOW // DAY_STEP * 2 + 1
-    first = np.maximum(np.trunc((p[..., 0] - shift - HALF_WINDOW) / DAY_STEP), 0).astype(np.int64)
+    first = np.maximum(np.trunc((p - shift - HALF_WINDOW) / DAY_STEP), 0).astype(np.int64)
     length = np.minimum(width, N_POINTS - first - 1)
-    # only the points of the window are evaluated
-    inside = np.arange(width) < length[..., None]
-    steps = np.minimum(first[..., None] + np.arange(width), N_POINTS - 1)
-    position = np.clip((FIRST_DAY + DAY_STEP * steps) * k + (1 - k) * p + s * k, 0.0, 179.0)
-    # the reference curve is read on a 0.01-day grid and is flat outside its own days
-    place = np.clip((np.floor(position * 100) * 0.01 - FIRST_DAY) / DAY_STEP, 0.0, N_POINTS - 1.0)
-    left = np.minimum(place.astype(np.int64), N_POINTS - 2)
-    row = np.arange(len(target))[:, None, None]
-    low = reference[row, left]
-    x = low + (reference[row, left + 1] - low) * (place - left)
-    y = target[row, steps]
     count = np.maximum(length, 1)[..., None]
-    x, y = (np.where(inside, v - np.where(inside, v, 0.0).sum(axis=2, keepdims=True) / count, 0.0) for v in (x, y))
+    row = np.arange(len(target))[:, None] * N_POINTS
+    rise = np.diff(reference, axis=1, append=0.0).ravel()
+    reference, target = reference.ravel(), target.ravel()
+    x, y = np.empty((2, *first.shape, width))
+    inside = np.arange(width) < length[..., None]
+    # only the points of the window are evaluated, one at a time, so that the numbers worked on fit the caches
+    for w in range(width):
+        step = np.minimum(first + w, N_POINTS - 1)
+        position = (FIRST_DAY + DAY_STEP * step) * scale
+        position += fixed
+        position += moved
+        np.clip(position, 0.0, 179.0, out=position)
+        # the reference curve is read on a 0.01-day grid and is flat outside its own days
+        position *= 100
+        np.floor(position, out=position)
+        position *= 0.01
+        position -= FIRST_DAY
+        position /= DAY_STEP
+        np.clip(position, 0.0, N_POINTS - 1.0, out=position)
+        left = np.minimum(position.astype(np.int64), N_POINTS - 2)
+        position -= left
+        left += row
+        position *= rise.take(left)
+        position += reference.take(left)
+        x[..., w] = position
+        step += row
+        y[..., w] = target.take(step)
+    for values in (x, y):
+        values[~inside] = 0.0
+        values -= values.sum(axis=2, keepdims=True) / count
+        values[~inside] = 0.0
     dot = lambda a, b: np.einsum("ijk,ijk->ij", a, b)
     r = dot(x, y) / (np.sqrt(dot(x, x)) + 1e-6) / (np.sqrt(dot(y, y)) + 1e-6)
     return np.where(length > 0, 1.0 - r, 1.0)

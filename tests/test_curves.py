@@ -239,3 +239,23 @@ def test_cluster_curve_variants(spark, rows):
     assert rows(phenology.cluster_curve(df, ["c"])) == [(1, 0, pytest.approx(0.3)), (1, 1, pytest.approx(0.6))]
     assert rows(phenology.cluster_curve(df, ["c"], drop_zero_rows=False)) == [(1, 0, 0.2), (1, 1, 0.4)]
     assert rows(phenology.cluster_curve(df, ["c"], "mean", False)) == [(1, 0, pytest.approx(0.2)), (1, 1, pytest.approx(0.4))]
+
+
+def test_few_references_are_met_as_a_matrix(spark):
+    rng = np.random.default_rng(11)
+    refs = spark.createDataFrame([(i, rng.random(13).tolist(), f"c{i}") for i in range(25)], "ref_id int, vi array<double>, crop string")
+    rows = [(i, rng.random(13).tolist()) for i in range(300)]
+    rows += [(i, [*v[:5], float("nan"), *v[6:]]) for i, v in rows[:5]] + [(i, v[:9]) for i, v in rows[:5]] + [(7, rows[7][1]), (None, rows[8][1]), (9, [0.0] * 13), (10, [None] * 13), (11, None)]
+    df = spark.createDataFrame(rows, "k int, vi array<double>")
+    met = matching.nearest_reference(df, ["k"], refs, 1.3, ["ref_vi", "crop"])
+    assert "ArrowEvalPython" in met._jdf.queryExecution().executedPlan().toString()
+    library = [(r.ref_id, r.vi, r.crop) for r in refs.collect()]
+    want = []
+    for k, vi in rows:
+        if vi and len(vi) == 13 and None not in vi and any(vi) and not np.isnan(vi).any():
+            d, i = min((math.sqrt(np.cumsum([(a - b) * (a - b) for a, b in zip(r, vi)])[-1]), i) for i, r, _ in library)
+            want += [(k, vi, i, d, *library[i][1:])] if d <= 1.3 else []
+    assert sorted(map(repr, map(tuple, met.collect()))) == sorted(map(repr, want)) and 50 < len(want) < 302
+    # a curve with a gap is as near to every series as can be and drops them all, as before
+    gap = refs.unionByName(spark.createDataFrame([(99, [None] * 13, "x")], refs.schema))
+    assert matching.nearest_reference(df.filter("k < 20"), ["k"], gap, 1.3).count() == 0
